@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mailverdict.schema import ENTRY_COLUMNS
@@ -23,6 +25,16 @@ DUCKDB = {
     "ARR0": "CAST([] AS varchar[])",
 }
 
+# Every supplier has an address of its own, at any scale.
+_IPV4 = (
+    "concat('10.', CAST(l_suppkey {DIV} 65536 % 256 AS {S}), '.',"
+    " CAST(l_suppkey {DIV} 256 % 256 AS {S}), '.', CAST(l_suppkey % 256 AS {S}))"
+)
+_IPV6 = (
+    "concat('2001:db8::', CASE WHEN l_suppkey < 10000 THEN ''"
+    " ELSE concat(CAST(l_suppkey {DIV} 10000 AS {S}), ':') END, CAST(l_suppkey % 10000 AS {S}))"
+)
+
 # What a report says about each of its records: one mail per order, one record per line item.
 _REPORTED = {
     "message_id": "concat('msg-', CAST(l_orderkey AS {S}))",
@@ -36,8 +48,7 @@ _REPORTED = {
     "align_spf": "'s'",
     "pct": "CAST(100 AS bigint)",
     "source_ip": "CASE WHEN l_suppkey % 50 = 49 THEN CAST(NULL AS {S})"
-    " WHEN l_suppkey % 10 = 9 THEN concat('2001:db8::', CAST(l_suppkey AS {S}))"
-    " ELSE concat('10.0.', CAST(l_suppkey {DIV} 256 AS {S}), '.', CAST(l_suppkey % 256 AS {S})) END",
+    " WHEN l_suppkey % 10 = 9 THEN " + _IPV6 + " ELSE " + _IPV4 + " END",
     "message_count": "CAST(l_quantity AS bigint)",
     "disposition": "CASE WHEN l_discount > 0.05 THEN 'reject' WHEN l_discount > 0.02 THEN 'quarantine'"
     " ELSE 'none' END",
@@ -147,8 +158,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """Run Spark SQL over test tables, passed as arguments instead of session-wide views."""
-    import re
-
     for name in names:
         text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})

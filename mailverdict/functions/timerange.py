@@ -128,6 +128,11 @@ def epoch_day(seconds: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / DAY).cast("int"))
 
 
+def epoch_month(seconds: Column) -> Column:
+    """First day of the UTC month of epoch seconds."""
+    return F.trunc(epoch_day(seconds), "MM")
+
+
 def epoch_date_text(seconds: Column) -> Column:
     return epoch_day(seconds).cast("string")
 

@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailverdict.functions.timerange import DAY, TimeRange
+from mailverdict.functions.timerange import TimeRange, epoch_day, epoch_month
 from mailverdict.functions.verdicts import SOURCE_KINDS
 
 
-def _day_bounds(df: DataFrame, first: int, last: int) -> DataFrame:
-    """Repeat a time filter on the partition column, so that whole days are never listed or read."""
-    if "end_day" not in df.columns:
-        return df
-    epoch = F.lit("1970-01-01").cast("date")
-    return df.filter(
-        F.col("end_day").between(
-            F.date_add(epoch, F.lit(first // DAY)), F.date_add(epoch, F.lit(last // DAY))
-        )
-    )
+def _period_bounds(df: DataFrame, first: int, last: int) -> DataFrame:
+    """Repeat a time filter on the partition column, so that other periods are never read."""
+    for period, of in (("end_day", epoch_day), ("end_month", epoch_month)):
+        if period in df.columns:
+            df = df.filter(F.col(period).between(of(F.lit(first)), of(F.lit(last))))
+    return df
 
 
 def in_range(df: DataFrame, span: TimeRange) -> DataFrame:
     """`end_date` within the range, both ends included."""
     kept = df.filter(F.col("end_date").between(span.start, span.end))
-    return _day_bounds(kept, span.start, span.end)
+    return _period_bounds(kept, span.start, span.end)
 
 
 def in_whole_days(df: DataFrame, span: TimeRange) -> DataFrame:
     """`end_date` from the start up to, not including, the end of the last whole day."""
     kept = df.filter((F.col("end_date") >= span.start) & (F.col("end_date") < span.bucket_end))
-    return _day_bounds(kept, span.start, span.bucket_end)
+    return _period_bounds(kept, span.start, span.bucket_end)
 
 
 def for_domain(df: DataFrame, domain: str | None) -> DataFrame:

@@ -83,11 +83,14 @@ ENRICHED_COLUMNS = [
     "reverse_lookup",
 ]
 
-# Storage adds the writing batch and the UTC day of `end_date` as partition columns.
-STORED_SCHEMA = T.StructType(
-    ENTRY_SCHEMA.fields
-    + [T.StructField("batch_id", T.StringType()), T.StructField("end_day", T.DateType())]
-)
+# Storage adds the writing batch and a calendar period of `end_date` (UTC) as partition columns.
+PERIODS = ("end_day", "end_month")
+
+
+def stored_schema(period: str) -> T.StructType:
+    extra = [T.StructField("batch_id", T.StringType()), T.StructField(period, T.DateType())]
+    return T.StructType(ENTRY_SCHEMA.fields + extra)
+
 
 QUARANTINE_SCHEMA = T.StructType(
     [

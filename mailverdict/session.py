@@ -19,6 +19,8 @@ def build_session(app: str = "mailverdict", master: str | None = None, **conf: s
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # lets the per-domain cap (1001 candidates per salt) trim rows before its shuffle
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "1024")
+        # mails and notices are small files; a higher opening cost would give each task only a few
+        .config("spark.sql.files.openCostInBytes", "524288")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.ui.enabled", "false")
     )

@@ -64,6 +64,12 @@ p AS (SELECT *, CASE WHEN total_count = 0 THEN 0.0::double
     ELSE pass_count::double / total_count::double * 100 END AS passing_percentage FROM s)
 SELECT *, CASE WHEN passing_percentage >= 99 THEN 'success' WHEN passing_percentage >= 90
   THEN 'warning' ELSE 'error' END AS band FROM p"""
+ORACLES["domain_stats_normalised"] = f"""
+WITH {_ENTRIES}, n AS (SELECT concat_ws('/', domain, source_ip) AS domain, message_count, end_date,
+    eval_dkim, eval_spf FROM e),
+s AS (SELECT domain, {_STATS} FROM n WHERE {_between(P.MONTH)} GROUP BY domain)
+SELECT domain, coalesce(total_count, 0) AS total_count, coalesce(pass_count, 0) AS pass_count
+FROM (SELECT DISTINCT domain FROM n) LEFT JOIN s USING (domain)"""
 ORACLES["domain_search"] = f"""
 WITH {_ENTRIES} SELECT domain, {_STATS} FROM e
 WHERE {_between(P.ALL_TIME)} AND contains(lower(domain), lower('{P.SEARCH}')) GROUP BY domain"""

@@ -23,7 +23,8 @@ FORWARDING_ENDING = "unverified-forwarding.1e100.net"
 _IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
 
-def _canonical(text: str | None) -> str | None:
+def canonical_text(text: str | None) -> str | None:
+    """Shortest text of one address; None if it is none."""
     if not text or "%" in text:
         return None
     try:
@@ -35,8 +36,8 @@ def _canonical(text: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def canonical_ip(raw: pd.Series) -> pd.Series:
-    """Shortest text of an address, NULL if it is none. Meant for distinct addresses."""
-    return raw.map(_canonical)
+    """Column form of `canonical_text`, NULL for no address. Meant for distinct addresses."""
+    return raw.map(canonical_text)
 
 
 def is_ipv4(ip: Column) -> Column:

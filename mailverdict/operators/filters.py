@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailverdict.functions.addresses import canonical_text
 from mailverdict.functions.timerange import TimeRange, epoch_day, epoch_month
 from mailverdict.functions.verdicts import SOURCE_KINDS
 
+# Sizes a page of a summary or a drill-down can have.
+PAGE_SIZES = (100, 200, 500)
+
 
 def _period_bounds(df: DataFrame, first: int, last: int) -> DataFrame:
     """Repeat a time filter on the partition column, so that other periods are never read."""
@@ -37,9 +41,11 @@ def for_domain(df: DataFrame, domain: str | None) -> DataFrame:
 
 
 def from_source(df: DataFrame, source: str, source_type: str) -> DataFrame:
-    """Rows of one sender. An unknown kind of sender, or an empty address, has no rows."""
+    """Rows of one sender. An unknown kind of sender, or a text that is no address, has no rows."""
     name = SOURCE_KINDS.get(source_type)
-    if name is None:
+    if name == "source_ip":
+        source = canonical_text(source)
+    if name is None or source is None:
         return df.filter(F.lit(False))
     return df.filter(F.col(name) == source)
 
@@ -51,6 +57,8 @@ def search_domains(stats: DataFrame, query: str) -> DataFrame:
     return stats.filter(F.lower("domain").contains(query.lower()))
 
 
-def page(df: DataFrame, order: list, number: int, size: int = 100) -> DataFrame:
+def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZES[0]) -> DataFrame:
     """Page `number`, counted from 0, of a result in the given order."""
+    if size not in PAGE_SIZES or number < 0:
+        raise ValueError(f"pages count from 0 and have one of the sizes {PAGE_SIZES}")
     return df.orderBy(*order).offset(number * size).limit(size)

@@ -5,55 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1024
-HOT_ROWS = 100_000
-SALTS = 256
+HOT_KEYS = 100_000
+ROWS_PER_SALT = 1_000_000
+NULL_SALTS = 1024
 
 
 def heaviest_keys(
-    counts: DataFrame, key: str, limit: int = HOT_KEYS, floor: int = HOT_ROWS
+    counts: DataFrame, key: str, limit: int = HOT_KEYS, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
-    """The heaviest keys of a `(key, n)` table, at most `limit` of them.
+    """Keys of a `(key, n)` table with more rows than one task should take: `(_hot, _salts)`.
 
-    A key left out holds less than 1/limit of all rows, so it can stay in one task. The limit bounds
-    what the caller may broadcast; it never decides which rows are kept.
+    At most `limit` keys, the heaviest first: this bounds what the caller broadcasts. A key left out
+    holds less than 1/limit of all rows. Which keys are named never decides which rows are kept.
     """
+    salts = F.ceil(F.col("n") / rows_per_salt).cast("int")
     return (
-        counts.filter((F.col("n") >= floor) & F.col(key).isNotNull())
+        counts.filter((F.col("n") > rows_per_salt) & F.col(key).isNotNull())
         .orderBy(F.desc("n"), key)
         .limit(limit)
-        .select(F.col(key).alias("_hot"))
+        .select(F.col(key).alias("_hot"), salts.alias("_salts"))
     )
 
 
 def left_join_salted(
-    fact: DataFrame,
-    dimension: DataFrame,
-    key: str,
-    hot: DataFrame,
-    row_id: list[str],
-    salts: int = SALTS,
+    fact: DataFrame, dimension: DataFrame, key: str, hot: DataFrame, row_id: list[str]
 ) -> DataFrame:
-    """Left join on `key`, with the rows of hot keys and of NULL spread over `salts` tasks.
+    """Left join on `key`, with the rows of a hot key spread over as many tasks as they fill.
 
-    The dimension holds one row per key and is repeated for hot keys only. The salt is a hash of the
-    row's own identity, so a task that is run again sends each row where it went before.
+    The dimension holds one row per key and is repeated once per salt of a hot key. The salt is a
+    hash of the row's own identity, so a task that is run again sends each row where it went before.
+    Rows without a key match nothing and are spread as well.
     """
     hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
+    identity = F.xxhash64(*row_id)
+    salts = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(
+        F.coalesce("_salts", F.lit(1))
+    )
     salted = (
         fact.join(hot, fact[key] == hot["_hot"], "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0)),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(identity, salts).cast("int"))
+        .drop("_hot", "_salts")
     )
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1)))
     repeated = (
         dimension.join(hot, dimension[key] == hot["_hot"], "left")
-        .withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        )
+        .drop("_hot", "_salts")
     )
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -44,3 +46,32 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="mailverdict-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that `shared_dir` named."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Give out a function that writes an intermediate table to the shared folder and reads it back.
+
+    Later steps read such a table more than once, and a lost executor then costs a file read, not
+    the work that led to it. The tables are removed at the end.
+    """
+    paths: list[str] = []
+
+    def stage(df: DataFrame, label: str) -> DataFrame:
+        path = shared_dir(spark, label)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stage
+    finally:
+        for path in paths:
+            drop_dir(spark, path)

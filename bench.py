@@ -99,7 +99,9 @@ def main() -> None:
     with contextlib.redirect_stdout(sys.stderr):
         spark = build_session(
             app="bench", master=f"local[{CPUS}]", spark__driver__memory="16g",
-            spark__sql__shuffle__partitions=CPUS, spark__ui__showConsoleProgress="false",
+            spark__sql__shuffle__partitions=CPUS,
+            # the data is small: smaller shuffle pieces keep all threads busy
+            spark__sql__adaptive__advisoryPartitionSizeInBytes="8m", spark__ui__showConsoleProgress="false",
         )
         spark.sparkContext.setLogLevel("ERROR")
         times = {k: round(v, 3) for k, v in measure(spark).items()}

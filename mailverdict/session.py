@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -56,7 +58,7 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def staging(spark: SparkSession) -> Iterator[Stage]:
     """Give out a function that writes an intermediate table to the shared folder and reads it back.
 
     Later steps read such a table more than once, and a lost executor then costs a file read, not

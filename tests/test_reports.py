@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fixtures import entries as fe
 from mailverdict.functions import verdicts
 from mailverdict.functions.timerange import TimeRange
+from mailverdict.operators.enrich import count_addresses
 from mailverdict.operators.filters import for_domain, in_range, in_whole_days, page, search_domains
 from mailverdict.plans import reports
 from mailverdict.schema import ENTRY_COLUMNS, ENTRY_SCHEMA
@@ -298,6 +299,15 @@ def test_no_query_joins_everything_with_everything(spark, stored):
     assert "WindowGroupLimit" in plan(reports.source_summary(df, SPAN))
 
 
+def test_counting_addresses_reads_only_addresses(spark, tmp_path):
+    names = ["message_id", "raw_ip", "error", "header_from"]
+    path = str(tmp_path / "records")
+    spark.createDataFrame([("m", "a", None, "h")], ", ".join(f"{n} string" for n in names)).write.parquet(path)
+    records = spark.read.parquet(path).filter("error IS NULL").drop("error")
+    scan = plan(count_addresses(records)).split("ReadSchema: ")[-1]
+    assert scan.startswith("struct<raw_ip:string,error:string>")
+
+
 def test_stored_rows_equal_written_rows(spark, small, stored):
     want = fe.entries(spark, small).filter(F.col("end_date") < 797000000).select(*ENTRY_COLUMNS)
     for warehouse in stored.values():

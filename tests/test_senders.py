@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mailverdict.functions import txtrecord
 from mailverdict.functions.addresses import canonical_ip, canonical_text, lookup_name
 from mailverdict.operators.domains import add_esp, org_domains
-from mailverdict.operators.enrich import address_table, enrich
+from mailverdict.operators.enrich import address_table, count_addresses, enrich
 from mailverdict.operators.skew import cap_per_group, heaviest_keys, left_join_salted
 
 ADDRESSES = {
@@ -142,7 +142,7 @@ def test_one_address_with_most_records_is_joined_whole(spark):
 
     missing = [c for c in ENTRY_COLUMNS if c not in records.columns and c not in ENRICHED_COLUMNS]
     records = records.withColumns({c: F.lit(None).cast(ENTRY_SCHEMA[c].dataType) for c in missing})
-    rows = enrich(records, *lookup_tables(spark), rows_per_salt=100)
+    rows = enrich(records, count_addresses(records), *lookup_tables(spark), rows_per_salt=100)
     assert rows.count() == n
     hot = rows.filter("source_ip = '1.2.3.44'")
     assert (hot.count(), hot.filter("esp = 'Google Mail'").count()) == (1000, 1000)

@@ -66,7 +66,8 @@ def measure(spark: SparkSession) -> dict[str, float]:
 
     warehouse = new_warehouse(spark)
     rows = fe.entries(spark, SF_DIR)
-    times["entries_write"] = seconds(lambda: warehouse.write_entries(rows, "bench"))
+    with warehouse.batch(spark, "bench"):
+        times["entries_write"] = seconds(lambda: warehouse.write_entries(rows, "bench"))
     stored = warehouse.entries(spark)
     for name, query in report_queries(stored).items():
         run(query())

@@ -250,7 +250,8 @@ def stored(spark, small, tmp_path_factory):
     for period in ("end_day", "end_month"):
         warehouse = Warehouse(str(tmp_path_factory.mktemp(period)), period)
         part = fe.entries(spark, small).filter(F.col("end_date") < 797000000)
-        warehouse.write_entries(part, "one")
+        with warehouse.batch(spark, "one"):
+            warehouse.write_entries(part, "one")
         tables[period] = warehouse
     return tables
 

@@ -20,7 +20,7 @@ def oracle_rows(sf_dir: str, sql: str) -> tuple[list[str], Counter]:
     con.execute("SET TimeZone = 'UTC'")
     for file in Path(sf_dir).glob("*.parquet"):
         con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
-    table = con.execute(sql).to_arrow_table()
+    table = con.sql(sql).to_arrow_table()
     names = sorted(table.column_names)
     return names, Counter(zip(*(table.column(n).to_pylist() for n in names), strict=True))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,18 +36,22 @@ def build_session(app: str = "mailverdict", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_base(application: str) -> str:
+    return tempfile.mkdtemp(prefix="mailverdict-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the one the cluster shares between its executors.
 
     The cluster names it in `spark.checkpoint.dir`. Where that is unset, as in tests on one machine,
-    a temporary folder takes its place and is remembered in the session.
+    a temporary folder of the application takes its place.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
-    if not base:
-        base = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not base:
-        base = tempfile.mkdtemp(prefix="mailverdict-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+    base = (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+        or _own_base(spark.sparkContext.applicationId)
+    )
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

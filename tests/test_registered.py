@@ -5,19 +5,23 @@ import inspect
 import pytest
 
 import __spark_entry__ as driver
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 from checks.compare import oracle_rows, spark_rows
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, small, name):
     columns, got = spark_rows(spark, small, name)
-    want_columns, want = oracle_rows(small, driver.oracle_sql()[name])
+    want_columns, want = oracle_rows(small, ORACLES[name])
     assert columns == want_columns
     assert got == want
 
 
 def test_every_query_has_sql_and_takes_the_same_arguments():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
     for query in driver.queries().values():
         assert list(inspect.signature(query).parameters) == ["spark", "sf_dir"]
 

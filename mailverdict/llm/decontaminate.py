@@ -101,7 +101,7 @@ def positional_index(docs: DataFrame, key: str, anchors: DataFrame, window: int
 
     indexed = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col(key),
+        F.col(key).alias("key"),
         F.inline(
             bound(terms(F.col("text")), lambda w: F.array(F.struct(F.size(w).cast("bigint").alias("n_words"), postings(w).alias("postings"))))
         ),
@@ -182,8 +182,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     )
     hits = scratch(by_row.select("row", covered.alias("n_hit"), "items"), "hits")
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return index.select("row", key, "n_words").join(hits, "row", "left").select(
-        key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+    return index.select("row", "key", "n_words").join(hits, "row", "left").select(
+        F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(listed).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),

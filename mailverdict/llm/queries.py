@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailverdict.llm import decontaminate, secrets, simhash
+from mailverdict.llm import decontaminate, mixing, quality, secrets, simhash
 from mailverdict.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,6 +26,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,5 +41,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
+    "op6_quality": op6_quality,
+    "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
 }

@@ -119,13 +119,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     Places are code points. Null and empty texts have no span. Repeated rows and null keys are handled
     row by row.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), spans_of(F.col(text)).alias("spans"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), spans_of(F.col(text)).alias("spans"))
     found = _split(scratch(rows, "secrets"))
     more = scratch(
         linked(found, scope).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "to"))).alias("added")), "linked"
     )
-    return found.select("row", key, "sure").join(more, "row", "left").select(
-        key, "sure", F.coalesce("added", F.array().cast(SPAN)).alias("added")
+    return found.select("row", "key", "sure").join(more, "row", "left").select(
+        F.col("key").alias(key), "sure", F.coalesce("added", F.array().cast(SPAN)).alias("added")
     )
 
 

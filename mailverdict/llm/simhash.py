@@ -48,10 +48,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = pa.array((fingerprint(t.as_py()) for t in batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), marks], names=[key, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), marks], names=["key", "fingerprint"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint bigint")
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, fingerprint bigint")
 
 
 def _signed(mask: int) -> int:
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     An empty table gives an empty table.
     """
     marked = scratch(fingerprints(docs, key, text), "fingerprints")
-    values = scratch(marked.groupBy("fingerprint").agg(F.min(key).alias("first")), "values")
+    values = scratch(marked.groupBy("fingerprint").agg(F.min("key").alias("first")), "values")
     linked = scratch(near_links(values, distance), "links")
     roots = scratch(components(linked), "roots")
     rooted = values.join(roots, values["fingerprint"] == roots["node"], "left").select(
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     )
     firsts = scratch(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
     named = scratch(rooted.join(firsts, "root").select("fingerprint", "component_id"), "named")
-    return marked.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+    return marked.join(named, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import string
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,29 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(spark, f"llm-{label}")
     _scratch.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that `scratch` writes inside are removed at the end, but for those put into the list."""
+    mark, kept = len(_scratch), []
+    yield kept
+    stay = {getattr(table, "_scratch_path", None) for table in kept}
+    made, _scratch[mark:] = _scratch[mark:], []
+    for spark, path in made:
+        if path in stay:
+            _scratch.append((spark, path))
+        else:
+            drop_dir(spark, path)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of steps that are over; it does so when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def clear_scratch() -> None:

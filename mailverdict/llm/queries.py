@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailverdict.llm import chat, decontaminate, divergence, mixing, quality, secrets, simhash, warc
+from mailverdict.llm import chat, decontaminate, divergence, mixing, quality, repeats, secrets, simhash, warc
 from mailverdict.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_divergence": op3_divergence,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
+    "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,

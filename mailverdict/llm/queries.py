@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailverdict.llm import chat, decontaminate, divergence, mixing, quality, repeats, secrets, simhash, warc
+from mailverdict.llm import chat, decontaminate, divergence, extract, mixing, quality, repeats, secrets, simhash, warc
 from mailverdict.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -34,6 +34,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_divergence": op3_divergence,
     "op4_secrets": op4_secrets,
+    "op5_extract": op5_extract,
     "op6_quality": op6_quality,
     "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,

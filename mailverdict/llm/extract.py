@@ -93,7 +93,6 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-@cache
 def _slot(feature: str) -> int:
     value = 2166136261
     for byte in feature.encode("utf-8", "surrogatepass"):
@@ -103,7 +102,7 @@ def _slot(feature: str) -> int:
 
 def features(page: list[Block]) -> list[list[int]]:
     """Active features of each block: ancestors, hints of class and id, and what the text looks like."""
-    rows = []
+    rows, slots = [], {}
     for k, (path, text, linked) in enumerate(page):
         n = len(text)
         share = min(linked / max(n, 1), 1.0)
@@ -112,7 +111,10 @@ def features(page: list[Block]) -> list[list[int]]:
             f"size {min(int(math.log2(n + 1)), 10)}", f"links {int(share * 4)}", f"ends {text[-1] in '.!?…»”'}",
             f"commas {min(text.count(','), 3)}", f"first {k == 0}", f"last {k == len(page) - 1}", f"mark {text[0] in '©|•'}",
         }
-        rows.append([_slot(x) for x in sorted(names)])
+        for name in names:
+            if name not in slots:
+                slots[name] = _slot(name)
+        rows.append([slots[x] for x in sorted(names)])
     return rows
 
 

@@ -6,9 +6,9 @@ from checks import params as P
 from checks.queries import HOST, IP_FORMS, PROVIDER_HOST, RANGE_FORMS, RANGE_TEXTS
 from fixtures.entries import DUCKDB, LOOKED_UP, entries_sql, event_entries_sql
 from fixtures.lookups import SUFFIX_RULES
-from fixtures.mails import BREAKAGES
+from fixtures.mails import BREAKAGES, ODD_COMMENT
 from fixtures.notices import NOTICE_KEY, UNREADABLE
-from mailverdict.functions.timerange import TimeRange
+from mailverdict.functions.timerange import TimeRange, last_days
 from mailverdict.schema import ARRAY_COLUMNS, DETAIL_KEYS, DETAIL_SEARCH_COLUMNS, ENTRY_COLUMNS
 
 ORACLES: dict[str, str] = {}
@@ -139,6 +139,12 @@ for _name, (_source, _kind) in P.SOURCES.items():
 
 _TOP = f"""t AS (SELECT * REPLACE ('all.example' AS domain, 'all' AS esp) FROM e),
 d AS ({_detail("domain = 'all.example' AND esp = 'all'", "t")})"""
+_EVERY_DOMAIN = f"""g AS (SELECT domain, {_KEYS}, CAST(sum(message_count) AS bigint) AS message_count
+  FROM (SELECT * REPLACE ('all' AS esp) FROM e) WHERE {_between(P.ALL_TIME)} GROUP BY domain, {_KEYS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY message_count DESC, {_KEY_ORDER}) AS rn FROM g)"""
+ORACLES["detail_all_domains"] = (
+    f"WITH {_ENTRIES}, {_EVERY_DOMAIN} SELECT {_flat_list(['domain', *DETAIL_KEYS, 'message_count'])} FROM r WHERE rn <= 2500"
+)
 ORACLES["detail_top"] = f"WITH {_ENTRIES}, {_TOP} SELECT {_DETAIL_OUT} FROM d"
 
 
@@ -206,6 +212,7 @@ ORACLES["daily_chart_one"] = (
     f"WITH {_chart(P.EVENTS, _EVENTS, f"domain = '{P.EVENT_DOMAIN}'")} SELECT * FROM c"
 )
 ORACLES["daily_chart_all"] = f"WITH {_chart(P.EVENTS, _EVENTS)} SELECT * FROM c"
+ORACLES["daily_chart_default"] = f"WITH {_chart(last_days(P.NOW), _ENTRIES)} SELECT * FROM c"
 ORACLES["daily_chart_sparse"] = f"WITH {_chart(P.EVENTS, _LABELLED_EVENTS)} SELECT * FROM c"
 ORACLES["daily_chart_true_dates"] = (
     f"WITH {_chart(P.EVENTS, _LABELLED_EVENTS, step=86400)} SELECT * FROM c"
@@ -245,7 +252,7 @@ _SEEN = f"""a AS (SELECT DISTINCT
 ORACLES["ip_intel"] = f"WITH {_SEEN} SELECT * FROM a"
 ORACLES["ptr_route"] = f"""
 WITH {_SEEN} SELECT source_ip, source_host, source_domain, esp, reverse_lookup FROM a
-WHERE starts_with(raw_ip, '2001:')"""
+WHERE contains(source_ip, ':')"""
 ORACLES["ip_canonical"] = f"""
 SELECT *, CASE
     WHEN form IN (0, 1) THEN concat('10.0.', k // 256 % 256, '.', k % 256)
@@ -274,7 +281,7 @@ b AS (SELECT * FROM x QUALIFY row_number() OVER (
 o AS (SELECT host,
   CASE WHEN NOT coalesce(icann, false) THEN NULL WHEN len(labels) - width <= 1 THEN name
     ELSE array_to_string(labels[len(labels) - width:], '.') END AS org_domain,
-  CASE WHEN NOT coalesce(icann, false) THEN concat('bad organizational domain: ', name) END AS error
+  CASE WHEN NOT coalesce(icann, false) THEN concat('no public suffix rule for ', name) END AS error
   FROM b)"""
 
 
@@ -289,6 +296,10 @@ _FROM_REPORT = [c for c in ENTRY_COLUMNS if c not in {"source_ip", *LOOKED_UP}]
 ORACLES["flatten_all_reports"] = f"""
 WITH {_ENTRIES} SELECT {_flat_list(_FROM_REPORT)}, coalesce(source_ip, 'unknown') AS raw_ip FROM e"""
 
+_ODD = f"(SELECT * REPLACE (list_prepend('odd', po_reason) AS po_reason, list_prepend('{ODD_COMMENT}', po_comment) AS po_comment) FROM e)"
+ORACLES["flatten_odd_reports"] = f"""
+WITH {_ENTRIES} SELECT {_flat_list(_FROM_REPORT)}, coalesce(source_ip, 'unknown') AS raw_ip FROM {_ODD} AS e"""
+
 _EMPTY = {
     "message_id": "concat('msg-', CAST(o_orderkey AS varchar))",
     "report_org_name": "o_orderpriority",
@@ -308,9 +319,10 @@ ORACLES["empty_report"] = "SELECT {} FROM orders".format(
 _STORED = f"WITH {_LOOKED_UP} SELECT {_flat_list(ENTRY_COLUMNS)} FROM e"
 ORACLES["ingest_roundtrip"] = _STORED
 ORACLES["ingest_incremental"] = _STORED
+ORACLES["ingest_compacted"] = _STORED
 ORACLES["ingest_quarantine"] = """
 SELECT DISTINCT concat('msg-', CAST(l_orderkey AS varchar)) AS message_id,
-  CASE l_orderkey % 11 {} ELSE 'stored' END AS stage
+  CASE l_orderkey % 13 {} ELSE 'stored' END AS stage
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN supplier ON l_suppkey = s_suppkey""".format(
     " ".join(f"WHEN {i} THEN '{stage}'" for i, stage in enumerate(BREAKAGES.values()))
@@ -321,6 +333,7 @@ _ANNOUNCED = f"""n AS (SELECT {NOTICE_KEY.format(S='varchar')} AS message_id FRO
 ORACLES["notice_filter"] = (
     f"WITH {_ANNOUNCED} SELECT message_id, count(*) AS n FROM n GROUP BY message_id"
 )
-ORACLES["stream_ingest"] = f"""
+ORACLES["notice_documents"] = ORACLES["notice_filter"]
+ORACLES["stream_two_checkpoints"] = ORACLES["stream_ingest"] = f"""
 WITH {_LOOKED_UP}, {_ANNOUNCED} SELECT {_flat_list(ENTRY_COLUMNS)} FROM e
 WHERE message_id IN (SELECT message_id FROM n)"""

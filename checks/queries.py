@@ -21,7 +21,7 @@ from mailverdict.operators.flatten import flatten_reports
 from mailverdict.plans import backfill, reports
 from mailverdict.schema import ENRICHED_COLUMNS, ENTRY_COLUMNS, QUARANTINE_SCHEMA
 from mailverdict.session import shared_dir
-from mailverdict.sources.notices import notified_keys, parse_notices
+from mailverdict.sources.notices import notified_keys, parse_notices, read_notices
 from mailverdict.sources.reports import parse_reports
 from mailverdict.sources.warehouse import Warehouse
 from mailverdict.streaming.ingest import ingest_stream
@@ -156,6 +156,13 @@ def _detail_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.source_detail(rows, P.ALL_TIME, "all.example", "all", "ESP")
 
 
+@register
+def detail_all_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One provider everywhere, so that the cap binds in every large domain."""
+    rows = fe.entries(spark, sf_dir).withColumn("esp", F.lit("all"))
+    return flat(reports.source_detail(rows, P.ALL_TIME, None, "all", "ESP"))
+
+
 @register
 def detail_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(_detail_top(spark, sf_dir))
@@ -208,6 +215,13 @@ def daily_chart_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.daily_chart(fe.event_entries(spark, sf_dir), P.EVENTS)
 
 
+@register
+def daily_chart_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range without bounds stands for the last 30 days."""
+    rows = fe.entries(spark, sf_dir)
+    return reports.daily_chart(rows, timerange.TimeRange(0, 0), now=P.NOW)
+
+
 def _hourly_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many domains with few rows each, so that most days of a domain are empty."""
     name = F.concat(F.lit("h"), F.expr("end_date div 3600 % 977"), F.lit(".example"))
@@ -307,10 +321,10 @@ def ip_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def ptr_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ipv6 = _seen_addresses(spark, sf_dir).filter(F.col("raw_ip").startswith("2001:"))
-    found = address_table(ipv6, fl.ip_txt(spark, sf_dir), fl.ptr(spark, sf_dir))
+    seen = _seen_addresses(spark, sf_dir)
+    found = address_table(seen, fl.ip_txt(spark, sf_dir), fl.ptr(spark, sf_dir))
     return flat(
-        found.select("source_ip", "source_host", "source_domain", "esp", "reverse_lookup")
+        found.filter(F.col("source_ip").contains(":")).select("source_ip", "source_host", "source_domain", "esp", "reverse_lookup")
     )
 
 
@@ -369,6 +383,13 @@ def _flattened(report_xml: DataFrame) -> DataFrame:
     return flat(records.select(*columns, "raw_ip"))
 
 
+@register
+def flatten_odd_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with a repeated container, CDATA that looks like a tag, and decoys in the wrong case."""
+    plain = fm.report_xml(fe.entries(spark, sf_dir))
+    return _flattened(plain.withColumn("xml", fm.made_odd(F.col("xml"))))
+
+
 @register
 def flatten_all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flattened(fm.report_xml(fe.entries(spark, sf_dir)))
@@ -397,11 +418,15 @@ def _stored(spark: SparkSession, warehouse: Warehouse) -> DataFrame:
 
 @register
 def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails as files: listed, fetched, unpacked, parsed, flattened, looked up, stored."""
+    """Mails as files: listed, fetched, unpacked, parsed, flattened, looked up, stored.
+
+    Some keys begin with a dot or an underscore, or lie in folders that do.
+    """
     warehouse = new_warehouse(spark)
-    root = fm.mail_folder(spark, sf_dir)
+    root = fm.mail_folder(spark, sf_dir, odd=True)
     backfill.ingest_batch(spark, root, warehouse, fl.lookups(spark, sf_dir))
-    return _stored(spark, warehouse)
+    stored = _stored(spark, warehouse)
+    return stored.withColumn("message_id", F.regexp_replace("message_id", fm.ODD_KEYS, ""))
 
 
 @register
@@ -417,16 +442,19 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, warehouse)
 
 
+DAMAGE_CYCLE = 13
+
+
 def _damaged_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = list(fm.BREAKAGES)
-    number = F.pmod(F.substring_index("message_id", "-", -1).cast("bigint"), F.lit(11))
+    number = F.pmod(F.substring_index("message_id", "-", -1).cast("bigint"), F.lit(DAMAGE_CYCLE))
     kind = F.get(F.array(*(F.lit(k) for k in kinds)), number.cast("int"))
     return fm.wrap_mails(fm.report_xml(fe.entries(spark, sf_dir)), kind)
 
 
 @register
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails of which most are broken in one of eight ways; the rest is stored."""
+    """Mails of which most are broken in one of ten ways; the rest is stored."""
     warehouse = new_warehouse(spark)
     backfill.ingest_mails(
         spark, _damaged_mails(spark, sf_dir), warehouse, fl.lookups(spark, sf_dir)
@@ -436,6 +464,40 @@ def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_aside.unionByName(stored)
 
 
+@register
+def stream_two_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams with checkpoints of their own, over different notices, into one warehouse."""
+    warehouse = new_warehouse(spark)
+    for part in (0, 1):
+        query = ingest_stream(
+            spark, fn.notice_folder(spark, sf_dir, part=part), fm.mail_folder(spark, sf_dir), warehouse,
+            fl.lookups(spark, sf_dir), shared_dir(spark, "progress"), files_per_batch=4,
+        )
+        query.awaitTermination()
+    return _stored(spark, warehouse)
+
+
+@register
+def ingest_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mails in many small batches, folded together as they come."""
+    warehouse = new_warehouse(spark)
+    lookups = fl.lookups(spark, sf_dir)
+    reports_xml = fm.report_xml(fe.entries(spark, sf_dir))
+    number = F.pmod(F.substring_index("message_id", "-", -1).cast("bigint"), F.lit(5))
+    for k in range(5):
+        backfill.ingest_mails(spark, fm.wrap_mails(reports_xml.filter(number == k)), warehouse, lookups)
+        warehouse.compact(spark, fan_in=2)
+    return _stored(spark, warehouse)
+
+
+@register
+def notice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices printed over several lines, one document per file."""
+    root = fn.document_folder(spark, sf_dir)
+    keys = notified_keys(read_notices(spark, root, whole_files=True))
+    return keys.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register
 def notice_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = notified_keys(parse_notices(fn.notice_texts(spark, sf_dir)))

@@ -14,12 +14,8 @@ ESP_BY_DOMAIN = {
     "mcdlv.net": "MailChimp",
 }
 
-BROADCAST_RULES = 100_000
 
-
-def org_domains(
-    hosts: DataFrame, rules: DataFrame, host: str = "host", broadcast_rules: int = BROADCAST_RULES
-) -> DataFrame:
+def org_domains(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
     """`(host, org_domain, error)` for each distinct host.
 
     `rules` is `(rule, kind, is_icann)` with kind normal, wildcard (`*.` in front) or exception. Every
@@ -29,9 +25,6 @@ def org_domains(
     table = rules.select(
         F.regexp_replace("rule", r"^(\*\.|!)", "").alias("ending"), "kind", "is_icann"
     )
-    # Rule lists are short; a list beyond the bound is joined by shuffle instead.
-    if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
-        table = F.broadcast(table)
 
     names = (
         hosts.select(F.col(host).alias("host"))
@@ -74,7 +67,7 @@ def org_domains(
     return best.select(
         "host",
         F.when(known, domain).alias("org_domain"),
-        F.when(~known, F.concat(F.lit("bad organizational domain: "), "name")).alias("error"),
+        F.when(~known, F.concat(F.lit("no public suffix rule for "), "name")).alias("error"),
     )
 
 

@@ -5,26 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 100_000
 ROWS_PER_SALT = 1_000_000
 NULL_SALTS = 1024
 
 
-def heaviest_keys(
-    counts: DataFrame, key: str, limit: int = HOT_KEYS, rows_per_salt: int = ROWS_PER_SALT
-) -> DataFrame:
-    """Keys of a `(key, n)` table with more rows than one task should take: `(_hot, _salts)`.
+def heaviest_keys(counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """All keys of a `(key, n)` table with more rows than one task should take: `(_hot, _salts)`.
 
-    At most `limit` keys, the heaviest first: this bounds what the caller broadcasts. A key left out
-    holds less than 1/limit of all rows. Which keys are named never decides which rows are kept.
+    There are at most as many as the table's rows, summed, hold `rows_per_salt`. Which keys are named
+    never decides which rows are kept.
     """
     salts = F.ceil(F.col("n") / rows_per_salt).cast("int")
-    return (
-        counts.filter((F.col("n") > rows_per_salt) & F.col(key).isNotNull())
-        .orderBy(F.desc("n"), key)
-        .limit(limit)
-        .select(F.col(key).alias("_hot"), salts.alias("_salts"))
-    )
+    return counts.filter((F.col("n") > rows_per_salt) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), salts.alias("_salts"))
 
 
 def left_join_salted(
@@ -34,9 +26,9 @@ def left_join_salted(
 
     The dimension holds one row per key and is repeated once per salt of a hot key. The salt is a
     hash of the row's own identity, so a task that is run again sends each row where it went before.
-    Rows without a key match nothing and are spread as well.
+    Rows without a key match nothing and are spread as well. The list of hot keys is no larger than the
+    rows divided by those of a salt; Spark sees its size and joins it as that allows.
     """
-    hot = F.broadcast(hot)
     identity = F.xxhash64(*row_id)
     salts = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(
         F.coalesce("_salts", F.lit(1))
@@ -68,18 +60,18 @@ def cap_per_group(
     """All rows of groups up to `cap` rows; the first `keep` rows of larger groups.
 
     Each group is first cut to its leading rows within salts, so the task that ranks a whole group
-    sees at most `salts * (cap + 1)` rows. One row more than the cap is carried along, which makes
-    "larger than the cap" exact.
+    sees at most `salts * cap` rows. Whether a group is larger than the cap is known from a count per
+    group, which is combined before its shuffle. Both ranks are cut at `cap`, so that Spark drops rows
+    beyond it before they are shuffled; by default it does so up to 1000.
     """
     by_salt = Window.partitionBy(group, "_salt").orderBy(*order)
-    by_group = Window.partitionBy(group)
+    by_group = Window.partitionBy(group).orderBy(*order)
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
     leading = (
         df.withColumn("_salt", F.pmod(F.xxhash64(*within), F.lit(salts)))
         .withColumn("_rank", F.row_number().over(by_salt))
-        .filter(F.col("_rank") <= cap + 1)
-    )
-    ranked = leading.withColumn("_rank", F.row_number().over(by_group.orderBy(*order))).withColumn(
-        "_rows", F.count(F.lit(1)).over(by_group)
+        .filter(F.col("_rank") <= cap)
     )
-    allowed = F.when(F.col("_rows") > cap, F.lit(keep)).otherwise(F.lit(cap))
-    return ranked.filter(F.col("_rank") <= allowed).drop("_salt", "_rank", "_rows")
+    ranked = leading.withColumn("_rank", F.row_number().over(by_group)).filter(F.col("_rank") <= cap)
+    sized = ranked.join(sizes, ranked[group].eqNullSafe(sizes["_group"]))
+    return sized.filter((F.col("_rows") <= cap) | (F.col("_rank") <= keep)).drop("_salt", "_rank", "_rows", "_group")

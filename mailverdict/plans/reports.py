@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailverdict.functions import verdicts
-from mailverdict.functions.timerange import TimeRange, epoch_date_text, last_days
+from mailverdict.functions.timerange import TimeRange, chart_range, epoch_date_text, last_days
 from mailverdict.operators.calendar import LABEL_STEP, fill_days
 from mailverdict.operators.filters import for_domain, from_source, in_range, in_whole_days
 from mailverdict.operators.skew import cap_per_group
@@ -121,14 +121,15 @@ def source_detail(
     source: str = "",
     source_type: str = "",
 ) -> DataFrame:
-    """The 2500 heaviest record groups of one sender of a domain."""
-    return (
-        from_source(for_domain(in_range(entries, span), domain), source, source_type)
-        .groupBy(*DETAIL_KEYS)
-        .agg(F.sum("message_count").alias("message_count"))
-        .orderBy(F.desc("message_count"), *_key_order())
-        .limit(DETAIL_CAP)
-    )
+    """The 2500 heaviest record groups of one sender of a domain; without a domain, of each domain."""
+    rows = from_source(for_domain(in_range(entries, span), domain), source, source_type)
+    keys = DETAIL_KEYS if domain is not None else ["domain", *DETAIL_KEYS]
+    order = [F.desc("message_count"), *_key_order()]
+    groups = rows.groupBy(*keys).agg(F.sum("message_count").alias("message_count"))
+    if domain is not None:
+        return groups.orderBy(*order).limit(DETAIL_CAP)
+    kept = cap_per_group(groups, "domain", order, DETAIL_KEYS, DETAIL_CAP, DETAIL_CAP)
+    return kept.orderBy("domain", *order)
 
 
 def search_detail(detail: DataFrame, query: str) -> DataFrame:
@@ -165,11 +166,16 @@ def daily_chart(
     span: TimeRange,
     domain: str | None = None,
     label_step: int = LABEL_STEP,
+    now: datetime | None = None,
 ) -> DataFrame:
     """Chart points `(domain, bucket, ts_ms, pass, fail)` without gaps.
 
+    With `now`, a range that starts or ends at 0 stands for the last 30 days.
+
     `label_step=86400` labels each bucket with its true start instead.
     """
+    if now is not None:
+        span = chart_range(span.start, span.end, now)
     return fill_days(daily_buckets(entries, span, domain), span, label_step).orderBy(
         "domain", "bucket"
     )

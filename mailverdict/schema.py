@@ -3,15 +3,16 @@
 from pyspark.sql import types as T
 
 # The report tree is read as text only. Integers are checked and cast afterwards, so that one bad
-# number rejects the whole mail, and surrounding blanks of text survive.
+# number rejects the whole mail, and surrounding blanks of text survive. Containers are lists, as
+# each may be repeated.
 REPORT_XML_SCHEMA = """
-report_metadata struct<org_name:string, date_range:struct<begin:string, `end`:string>>,
-policy_published struct<domain:string, adkim:string, aspf:string, p:string, sp:string, pct:string>,
+report_metadata array<struct<org_name:string, date_range:array<struct<begin:string, `end`:string>>>>,
+policy_published array<struct<domain:string, adkim:string, aspf:string, p:string, sp:string, pct:string>>,
 record array<struct<
-  row:struct<source_ip:string, count:string,
-    policy_evaluated:struct<disposition:string, dkim:string, spf:string,
-      reason:array<struct<type:string, comment:string>>>>,
-  identifiers:struct<header_from:string, envelope_from:string, envelope_to:string>,
+  row:array<struct<source_ip:string, count:string,
+    policy_evaluated:array<struct<disposition:string, dkim:string, spf:string,
+      reason:array<struct<type:string, comment:string>>>>>>,
+  identifiers:array<struct<header_from:string, envelope_from:string, envelope_to:string>>,
   auth_results:array<struct<
     dkim:array<struct<domain:string, selector:string, result:string>>,
     spf:array<struct<domain:string, scope:string, result:string>>>>>>,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,8 +23,6 @@ def build_session(app: str = "mailverdict", master: str | None = None, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # lets the per-domain cap (1001 candidates per salt) trim rows before its shuffle
-        .config("spark.sql.optimizer.windowGroupLimitThreshold", "1024")
         # mails and notices are small files; a higher opening cost would give each task only a few
         .config("spark.sql.files.openCostInBytes", "524288")
         .config("spark.sql.parquet.filterPushdown", "true")
@@ -44,14 +43,16 @@ def _own_base(application: str) -> str:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the one the cluster shares between its executors.
 
-    The cluster names it in `spark.checkpoint.dir`. Where that is unset, as in tests on one machine,
-    a temporary folder of the application takes its place.
+    The cluster names it in `spark.checkpoint.dir`. Where that is unset and all tasks run in the driver's
+    own process, as in tests on one machine, a temporary folder of the application takes its place. On
+    a cluster there is no such stand-in: each executor would write to a disk of its own.
     """
-    base = (
-        spark.conf.get(CHECKPOINT_CONF, None)
-        or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-        or _own_base(spark.sparkContext.applicationId)
-    )
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master or ""):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = _own_base(context.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -68,16 +69,17 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[Stage]:
+def staging(spark: SparkSession, below: str | None = None) -> Iterator[Stage]:
     """Give out a function that writes an intermediate table to the shared folder and reads it back.
 
-    Later steps read such a table more than once, and a lost executor then costs a file read, not
+    With `below` the tables lie in a folder there, for example beside the stored tables, which executors
+    share anyway. Later steps read such a table more than once, and a lost executor then costs a file read, not
     the work that led to it. The tables are removed at the end.
     """
     paths: list[str] = []
 
     def stage(df: DataFrame, label: str) -> DataFrame:
-        path = shared_dir(spark, label)
+        path = f"{below.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}" if below else shared_dir(spark, label)
         paths.append(path)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)

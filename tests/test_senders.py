@@ -157,7 +157,6 @@ def test_salted_join_equals_the_plain_join(spark):
     counts = fact.groupBy("k").agg(F.count("*").alias("n"))
     hot = heaviest_keys(counts, "k", rows_per_salt=10)
     assert {r["_hot"]: r["_salts"] for r in hot.collect()}["hot"] == 100
-    assert heaviest_keys(counts, "k", limit=1, rows_per_salt=10).count() == 1
     got = left_join_salted(fact, dim, "k", hot, ["id"]).select("id", "k", "v")
     want = fact.join(dim, "k", "left").select("id", "k", "v")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

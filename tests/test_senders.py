@@ -189,11 +189,10 @@ def test_registrable_domains(spark):
     }
     hosts = spark.createDataFrame([(h,) for h in cases] * 2, "host string")
     table = spark.createDataFrame(rules, "rule string, kind string, is_icann boolean")
-    for bound in (100_000, 0):
-        rows = org_domains(hosts, table, broadcast_rules=bound).collect()
-        assert {r.host: r.org_domain for r in rows} == cases
-        assert len(rows) == len(cases)
-        assert all((r.error is None) == (r.org_domain is not None) for r in rows)
+    rows = org_domains(hosts, table).collect()
+    assert {r.host: r.org_domain for r in rows} == cases
+    assert len(rows) == len(cases)
+    assert all((r.error is None) == (r.org_domain is not None) for r in rows)
 
 
 def test_esp_by_domain(spark):

@@ -65,26 +65,28 @@ def balance(classes: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("sid", F.least(F.exp("lam"), F.lit(float(CAP))).alias("rate"))
 
 
-def _extras(rows: pd.DataFrame) -> pd.DataFrame:
-    """How many documents of each class of one source get one copy more than the rest.
+def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
+    """Copies of the documents of each class of one source: all get `each`, the first `more` one in addition.
 
-    Large documents first; what rounding leaves over is carried to smaller ones, so that a source misses
-    its target by less than its smallest documents.
+    Large documents first; what rounding leaves over is carried to smaller ones, which may get up to `CAP`
+    copies or none to make up for it. So a source misses its target by less than a small document, unless
+    so few are left behind a large one that they cannot make up for it.
     """
     rows = rows.sort_values(["size", "part"], ascending=[False, True])
-    left, extra = 0.0, []
-    for size, n, share in zip(rows["size"], rows["n"], rows["share"]):
-        want = left + n * share * size
-        k = min(max(round(want / size), 0), n) if size else 0
+    left, each, more = 0.0, [], []
+    for size, n, rate in zip(rows["size"], rows["n"], rows["rate"]):
+        want = left + n * rate * size
+        k = min(max(round(want / size), 0), CAP * n) if size else 0
         left = want - k * size
-        extra.append(k)
-    return rows[["sid", "size", "part"]].assign(extra=extra)
+        each.append(k // n)
+        more.append(k % n)
+    return rows[["sid", "size", "part"]].assign(each=each, more=more)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per document row: `key, size, source_size, target, rate, copies, taken`.
 
-    `copies` is the rate rounded down, or up for as many documents of a size as meet the target; which
+    `copies` is the rate rounded down or up, for as many documents of a size as meet the target; which
     ones is fixed by a hash of key and text, so reruns agree. The rounding handles one row per source,
     size and part, however many documents there are. Null texts have no words and are not taken; a null
     source is a source of its own; equal rows may get different numbers of copies. An empty table, or
@@ -102,15 +104,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     of = sources.select("sid", F.col("source").alias("s"))
     classes = scratch(counted.join(of, counted["source"].eqNullSafe(of["s"])).drop("source", "s"), "classes")
     rates = scratch(sources.join(balance(classes, sources), "sid", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0))), "rates")
-    shares = classes.join(rates.select("sid", (F.col("rate") - F.floor("rate")).alias("share")), "sid")
-    extras = scratch(
-        shares.groupBy("sid").applyInPandas(_extras, "sid int, size bigint, part int, extra bigint"), "extras"
-    )
+    rated = classes.join(rates.select("sid", "rate"), "sid")
+    rounded = scratch(rated.groupBy("sid").applyInPandas(_rounded, "sid int, size bigint, part int, each bigint, more bigint"), "rounded")
     named = rates.select("sid", F.col("source").alias("s"), "source_size", "target", "rate")
     placed = sized.join(named, sized["source"].eqNullSafe(named["s"])).drop("source", "s")
     turn = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy("tick", "key"))
-    copies = (F.floor("rate") + F.when(F.col("turn") <= F.col("extra"), 1).otherwise(0)).cast("bigint")
-    return placed.withColumn("turn", turn).join(extras, ["sid", "size", "part"]).withColumn("copies", copies).select(
+    copies = (F.col("each") + F.when(F.col("turn") <= F.col("more"), 1).otherwise(0)).cast("bigint")
+    return placed.withColumn("turn", turn).join(rounded, ["sid", "size", "part"]).withColumn("copies", copies).select(
         F.col("key").alias(key), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 

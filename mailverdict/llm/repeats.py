@@ -32,6 +32,7 @@ RIGHT = LENGTH - WINDOW + 1
 SPAN = 500  # bytes that adjacent suffixes must share before they count as a repeat
 DEPTH = SPAN + WINDOW + 1
 PIECE = 1 << 19
+SIEVE_LOG = 26  # the sieve in front of the exact join has 2 ** 26 bits, 8 MB
 DIRECT = 4096  # contexts that are compared within one task; larger classes meet in a shuffle
 
 RUNS = "array<struct<first:int,last:int>>"
@@ -78,12 +79,10 @@ def samples(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _digest(data: bytes) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(data))
+def _digests(data: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+    """64-bit hashes of the given slices."""
+    hashed = xxhash.xxh3_64_intdigest
+    return np.array([hashed(data[a:b]) for a, b in zip(starts, ends)], np.uint64).view(np.int64)
 
 
 def _mapped(df: DataFrame, one: Callable, fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
@@ -108,31 +107,83 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _rights(text: str | None) -> list[tuple]:
-    data = _bytes(text)
-    return [(_digest(data[p : p + RIGHT]),) for p in samples(data)[0].tolist()]
+def _columns(df: DataFrame, one: Callable, fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """Arrays that `one(*columns)` gives for each row, put together by column."""
+    out = pa.schema(fields)
 
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*held), out.types)], schema=out)
 
-def _listed(key: int, text: str | None) -> list[tuple]:
-    """The samples of one text, with all that later steps compare instead of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                made = one(*(column[k].as_py() for column in batch.columns))
+                if len(made[0]):
+                    held.append(made)
+                    n += len(made[0])
+                if n >= 50_000:
+                    yield batch_of(held)
+                    held, n = [], 0
+        if held:
+            yield batch_of(held)
+
+    return df.mapInArrow(run, schema)
+
+
+def _rights(text: str | None) -> tuple[np.ndarray]:
     data = _bytes(text)
-    places, firsts, lasts = (x.tolist() for x in samples(data))
-    distinct = np.array(sorted(set(places)), np.int64)
-    n, rows = len(data), []
-    behind = np.searchsorted(distinct, np.array(places, np.int64), "right").tolist()
-    reach = np.searchsorted(distinct, np.array(places, np.int64) + SPAN, "left").tolist()
-    for p, first, last, k, j in zip(places, firsts, lasts, behind, reach):
-        after = int(distinct[k]) if k < len(distinct) else None
-        far = int(distinct[j]) if j < len(distinct) else None
-        symbol = data[p:after] if after is not None else data[p : min(p + LENGTH, n)]
-        rows.append(
-            (
-                key, p, first, last, after, (_digest(symbol) >> 2 & (1 << 61) - 1) + 1, len(symbol), far,
-                _digest(data[p:far]) if far is not None else None,
-                _digest(data[p : p + RIGHT]), _digest(data[first : last + LENGTH] + b"%d,%d" % (p - first, p - last)),
-            )
+    places = samples(data)[0]
+    return (_digests(data, places.tolist(), (places + RIGHT).tolist()),)
+
+
+class Sieve:
+    """Which hashes may be among those that occur again: one bit for each of `2 ** SIEVE_LOG` slots.
+
+    A fixed size, whatever the data; it only spares rows the exact join behind it.
+    """
+
+    def __init__(self, again: DataFrame) -> None:
+        slot = F.shiftrightunsigned("g", 64 - SIEVE_LOG)
+        words_ = again.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(63).cast("int").alias("b"))
+        bits = words_.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("bits")).toArrow()
+        table = np.zeros(1 << (SIEVE_LOG - 6), np.int64)
+        table[bits.column("w").to_numpy()] = bits.column("bits").to_numpy()
+        self.table = again.sparkSession.sparkContext.broadcast(table)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        slots = hashes.view(np.uint64) >> np.uint64(64 - SIEVE_LOG)
+        words_ = self.table.value[(slots >> np.uint64(6)).astype(np.int64)].view(np.uint64)
+        return (words_ >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _lister(sieve: Sieve) -> Callable:
+    """The samples of one text that may be repeated, with all that later steps compare instead of the text.
+
+    Missing neighbours are -1.
+    """
+
+    def listed(key: int, text: str | None) -> tuple[np.ndarray, ...]:
+        data = _bytes(text)
+        places, firsts, lasts = samples(data)
+        rights = _digests(data, places.tolist(), (places + RIGHT).tolist())
+        distinct = np.append(np.unique(places), -1)
+        behind = distinct[np.searchsorted(distinct[:-1], places, "right")]
+        far = distinct[np.searchsorted(distinct[:-1], places + SPAN, "left")]
+        keep = sieve.passes(rights)
+        places, firsts, lasts, rights, behind, far = (x[keep] for x in (places, firsts, lasts, rights, behind, far))
+        ends = np.where(behind < 0, np.minimum(places + LENGTH, len(data)), behind)
+        at, a, b = places.tolist(), firsts.tolist(), lasts.tolist()
+        symbols = (_digests(data, at, ends.tolist()) >> 2 & (1 << 61) - 1) + 1
+        spans = _digests(data, at, np.maximum(far, places).tolist())
+        digest = xxhash.xxh3_64_intdigest
+        contexts = [digest(data[x : y + LENGTH], p - x << 8 | p - y) for p, x, y in zip(at, a, b)]
+        return (
+            np.full(len(at), key, np.int64), places, firsts, lasts, behind, symbols, ends - places, far, spans, rights,
+            np.array(contexts, np.uint64).view(np.int64),
         )
-    return rows
+
+    return listed
 
 
 _I32, _I64 = pa.int32(), pa.int64()
@@ -223,17 +274,17 @@ def _edges(listed: DataFrame, texts: DataFrame, direct: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, direct: int = DIRECT) -> DataFrame:
     """`(row, spans)` of `texts(row, text)`: sorted, possibly overlapping byte ranges `(first, last)`, end
     exclusive, that strings of `LENGTH` bytes cover which also start elsewhere."""
-    hashed = _mapped(texts.select("text"), _rights, [("g", _I64)], "g bigint")
+    hashed = _columns(texts.select("text"), _rights, [("g", _I64)], "g bigint")
     again = scratch(hashed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "again")
-    listed = _mapped(texts.select("row", "text"), _listed, _LISTED, _LISTED_SQL).join(again, "g")
+    listed = _columns(texts.select("row", "text"), _lister(Sieve(again)), _LISTED, _LISTED_SQL).join(again, "g")
     in_text = Window.partitionBy("row").orderBy("p", "first")
     following = F.lead("p").over(in_text)
-    marked = listed.withColumn("end", F.coalesce(following != F.col("after"), F.lit(True)) | F.col("after").isNull())
+    marked = listed.withColumn("end", F.coalesce(following != F.col("after"), F.lit(True)))
     kept = scratch(placed(marked, ["row", "p", "first"], "sequence").withColumnRenamed("place", "pos").drop("zeros"), "samples")
     release(texts)
     ranks = suffix_ranks(kept.select("pos", "sym", F.col("weight").cast("bigint").alias("weight"), "end"), DEPTH)
     order = placed(ranks, ["rank", "pos"], "order").select("pos", "place")
-    suffixes = scratch(order.join(kept.select("pos", "span"), "pos").filter("span IS NOT NULL"), "suffixes")
+    suffixes = scratch(order.join(kept.select("pos", "span", "far"), "pos").filter("far >= 0").drop("far"), "suffixes")
     sides = [suffixes.select((F.col("place") + k).alias("place"), F.col("span").alias("other")) for k in (1, -1)]
     equal = sides[0].union(sides[1]).join(suffixes, "place").filter("other = span").select("pos").distinct()
     equal = scratch(equal.withColumn("equal", F.lit(True)), "equal")

@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailverdict.llm.common import bound, passing, release, scratch
 
 BLOCK = 4096
 FAR = 1 << 40  # weight of a triple in which its run ends: nothing behind it is compared
-_LOCAL = (1 << 33) - 1
 
 
 def placed(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     """`rows` with `place`, 0 and up in the order of `by`, and `zeros`, the rows before with `kind` 0.
 
-    A range-partitioned sort; each task counts its own rows, and the driver sums one row per task.
+    A range-partitioned sort; each task counts along its own rows, and the driver sums one row per task.
     """
-    kind = F.col("kind") if "kind" in rows.columns else F.lit(1)
-    task = F.shiftright("_id", 33)
-    sorted_ = scratch(rows.orderBy(*by).withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", task), label)
-    sums = sorted(sorted_.groupBy("_task").agg(F.count(F.lit(1)), F.sum((kind == 0).cast("bigint"))).collect())
+    of_kind = rows.columns.index("kind") if "kind" in rows.columns else None
+    names = [*rows.columns, "_task", "place", "zeros"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, zeros = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            here = np.zeros(batch.num_rows, bool) if of_kind is None else batch.column(of_kind).to_numpy(zero_copy_only=False) == 0
+            before = zeros + np.cumsum(here) - here
+            places = np.arange(n, n + batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, task), pa.int64()), pa.array(places, pa.int64()), pa.array(before, pa.int64())],
+                names=names,
+            )
+            n, zeros = n + batch.num_rows, zeros + int(here.sum())
+
+    schema = ", ".join([*(f"{c} {t}" for c, t in rows.dtypes), "_task bigint", "place bigint", "zeros bigint"])
+    sorted_ = scratch(rows.orderBy(*by).mapInArrow(count, schema), label)
+    zero = (F.col("kind") == 0).cast("bigint") if of_kind is not None else F.lit(0)
+    sums = sorted(sorted_.groupBy("_task").agg(F.count(F.lit(1)), F.sum(zero)).collect())
     starts, n, zeros = [], 0, 0
-    for k, rows_here, zeros_here in sums:
-        starts.append((k, n, zeros))
+    for task, rows_here, zeros_here in sums:
+        starts.append((task, n, zeros))
         n, zeros = n + rows_here, zeros + zeros_here
     offsets = rows.sparkSession.createDataFrame(starts, "_task bigint, _rows bigint, _zeros bigint")
-    out = sorted_.join(F.broadcast(offsets), "_task").withColumn("place", F.col("_rows") + F.col("_id").bitwiseAND(_LOCAL))
-    if "kind" in rows.columns:
-        before = Window.partitionBy("_task").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("zeros", F.col("_zeros") + F.coalesce(F.sum((kind == 0).cast("bigint")).over(before), F.lit(0)))
-    return out.drop("_id", "_task", "_rows", "_zeros")
+    return (
+        sorted_.join(F.broadcast(offsets), "_task")
+        .withColumns({"place": F.col("_rows") + F.col("place"), "zeros": F.col("_zeros") + F.col("zeros")})
+        .drop("_task", "_rows", "_zeros")
+    )
 
 
 def _triples(seq: DataFrame) -> DataFrame:
@@ -86,7 +105,7 @@ def _ranks(seq: DataFrame, depth: int) -> DataFrame:
     t = _triples(seq)
     sampled = t.filter("pos % 3 <> 0")
     distinct = sampled.groupBy("s0", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("w"))
-    names = scratch(placed(distinct, ["s0", "s1", "s2"], "names").select("s0", "s1", "s2", "n", "w", (F.col("place") + 1).alias("name")), "names")
+    names = placed(distinct, ["s0", "s1", "s2"], "names").select("s0", "s1", "s2", "n", "w", (F.col("place") + 1).alias("name"))
     named = scratch(sampled.join(names.drop("n", "w"), ["s0", "s1", "s2"]).select("pos", "name", "weight", "end"), "named")
     if names.filter((F.col("n") > 1) & (F.col("w") < depth)).isEmpty():
         order = named.select("pos", F.col("name").alias("rank"))
@@ -101,7 +120,7 @@ def _ranks(seq: DataFrame, depth: int) -> DataFrame:
         order = suffix_ranks(shorter, depth).select(
             F.when(first, F.col("pos") * 3 + 1).otherwise((F.col("pos") - ones) * 3 + 2).alias("pos"), "rank"
         )
-    ranks = scratch(placed(order, ["rank", "pos"], "sampled").select("pos", F.col("place").alias("r")), "sampled")
+    ranks = placed(order, ["rank", "pos"], "sampled").select("pos", F.col("place").alias("r"))
     after = [ranks.select((F.col("pos") - k).alias("pos"), F.col("r").alias(f"r{k}")) for k in (1, 2)]
     none = F.lit(-1).cast("bigint")
     whole = scratch(

@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+from mailverdict.llm.divergence import (
+    CHAR_GUARD,
+    CHAR_LIMIT,
+    CHAR_SLACK,
+    CLASSES,
+    COMMON,
+    LANGUAGE_GUARD,
+    MIN_WORDS,
+    REPEAT_PERCENT,
+    SLOTS,
+    WORD_GUARD,
+    WORD_LIMIT,
+    WORD_SLACK,
+)
+
 _SECRET = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 #: Windows of ten item words looked up among the windows of the documents of the same length.
@@ -108,4 +123,70 @@ SELECT conv_id, count(*) AS n_turns,
 FROM said GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op10_chat": OP10, "op4_secrets": OP4, "op9_decontaminate": OP9}
+def _sql_list(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+def _references(good: str) -> str:
+    """Summed histograms of each language with enough texts, and of all texts as `*`."""
+    chars, slots = len(CLASSES) + 1, SLOTS + 1
+    sums = lambda of: ", ".join(
+        f"[{', '.join(f'sum({name}[{k}])' for k in range(1, n + 1))}] AS {of}{name}" for name, n in (("chars", chars), ("common", slots))
+    )
+    return f"""(
+  SELECT lang AS ref, count(*) AS docs, {sums('ref_')} FROM {good} GROUP BY lang HAVING count(*) >= {LANGUAGE_GUARD}
+  UNION ALL SELECT '*', count(*), {sums('ref_')} FROM {good})"""
+
+
+def _distance(a: str, b: str) -> str:
+    """Square root of the Jensen-Shannon divergence of two lists of counts."""
+    p, q = f"({a}[k] / list_sum({a})::double)", f"({b}[k] / list_sum({b})::double)"
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0.0 END"
+    return f"sqrt(greatest(list_sum(list_transform(range(1, len({a}) + 1), lambda k: {part(p, q)} + {part(q, p)})), 0.0) / 2)"
+
+
+def _compared(rows: str, refs: str) -> str:
+    chars = _distance("chars", "coalesce(o.ref_chars, a.ref_chars)")
+    common = _distance("common", "o.ref_common")
+    return f"""(
+  SELECT m.*, CASE WHEN word_chars >= {CHAR_GUARD} AND coalesce(o.ref_chars, a.ref_chars) IS NOT NULL THEN round({chars}, 6) END AS char_distance,
+    CASE WHEN n_words >= {WORD_GUARD} AND o.ref_common[1] IS NOT NULL AND common IS NOT NULL THEN round({common}, 6) END AS word_distance
+  FROM {rows} m LEFT JOIN {refs} o ON m.lang = o.ref LEFT JOIN (SELECT * FROM {refs} WHERE ref = '*' AND docs > 0) a ON true)"""
+
+
+_NEAR = (
+    f"(coalesce(char_distance <= {CHAR_LIMIT} + {CHAR_SLACK} / sqrt(word_chars), true)"
+    f" AND coalesce(word_distance <= {WORD_LIMIT} + {WORD_SLACK} / sqrt(n_words), true))"
+)
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LISTS = " ".join(f"WHEN '{lang}' THEN {_sql_list(listed.split())}" for lang, listed in COMMON.items())
+_COUNTS = ", ".join("len(regexp_extract_all(t, '{}'))".format(c.replace("'", "''")) for c in CLASSES)
+OP3 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+    {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lw,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l
+  FROM documents),
+gram AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM doc)),
+twice AS (SELECT r, g FROM gram GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM gram JOIN twice USING (r, g)) GROUP BY r),
+raw AS (
+  SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, [{_COUNTS}] AS classes,
+    list_transform(CASE lang {_LISTS} END, lambda c: len(list_filter(lw, lambda x: x = c))) AS listed
+  FROM doc LEFT JOIN rep USING (r)),
+met AS MATERIALIZED (
+  SELECT *, list_append(classes, word_chars - list_sum(classes)) AS chars, list_append(listed, n_words - list_sum(listed)) AS common,
+    n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM raw),
+good AS MATERIALIZED (SELECT * FROM met WHERE NOT base_failed),
+one AS MATERIALIZED (SELECT * FROM {_references('good')}),
+close AS MATERIALIZED (SELECT * FROM {_compared('good', 'one')} WHERE {_NEAR}),
+two AS MATERIALIZED (SELECT * FROM {_references('close')}),
+last AS (SELECT * FROM {_compared('met', 'two')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance,
+  NOT base_failed AND {_NEAR} AS kept
+FROM last
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op10_chat": OP10, "op3_divergence": OP3, "op4_secrets": OP4, "op9_decontaminate": OP9}

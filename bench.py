@@ -28,7 +28,7 @@ from fixtures import notices as fn
 from mailverdict import ingest_batch, ingest_stream
 from mailverdict.operators.flatten import flatten_reports
 from mailverdict.plans import reports
-from mailverdict.session import build_session, shared_dir
+from mailverdict.session import build_session, passing_dir
 from mailverdict.sources.reports import parse_reports
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -82,7 +82,7 @@ def measure(spark: SparkSession) -> dict[str, float]:
         )
 
     # parsing and flattening alone, over rendered reports that are stored first
-    rendered = shared_dir(spark, "rendered")
+    rendered = passing_dir(spark, "rendered")
     fm.report_xml(rows).write.parquet(rendered)
     nothing = F.lit(None).cast("string")
     texts = spark.read.parquet(rendered).withColumns({"stage": nothing, "error": nothing})
@@ -98,7 +98,7 @@ def measure(spark: SparkSession) -> dict[str, float]:
     def stream() -> None:
         query = ingest_stream(
             spark, notices, root, new_warehouse(spark), lookups,
-            shared_dir(spark, "progress"), files_per_batch=3,
+            passing_dir(spark, "progress"), files_per_batch=3,
         )
         query.awaitTermination()
 

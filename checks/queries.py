@@ -20,7 +20,7 @@ from mailverdict.operators.filters import page, search_domains
 from mailverdict.operators.flatten import flatten_reports
 from mailverdict.plans import backfill, reports
 from mailverdict.schema import ENRICHED_COLUMNS, ENTRY_COLUMNS, QUARANTINE_SCHEMA
-from mailverdict.session import shared_dir
+from mailverdict.session import passing_dir
 from mailverdict.sources.notices import notified_keys, parse_notices, read_notices
 from mailverdict.sources.reports import parse_reports
 from mailverdict.sources.warehouse import Warehouse
@@ -409,7 +409,7 @@ def empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_warehouse(spark: SparkSession) -> Warehouse:
     """A fresh one. The derived rows spread over years, so they are stored by month."""
-    return Warehouse(shared_dir(spark, "warehouse"), "end_month")
+    return Warehouse(passing_dir(spark, "warehouse"), "end_month")
 
 
 def _stored(spark: SparkSession, warehouse: Warehouse) -> DataFrame:
@@ -471,7 +471,7 @@ def stream_two_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (0, 1):
         query = ingest_stream(
             spark, fn.notice_folder(spark, sf_dir, part=part), fm.mail_folder(spark, sf_dir), warehouse,
-            fl.lookups(spark, sf_dir), shared_dir(spark, "progress"), files_per_batch=4,
+            fl.lookups(spark, sf_dir), passing_dir(spark, "progress"), files_per_batch=4,
         )
         query.awaitTermination()
     return _stored(spark, warehouse)
@@ -514,7 +514,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         fm.mail_folder(spark, sf_dir),
         warehouse,
         fl.lookups(spark, sf_dir),
-        shared_dir(spark, "progress"),
+        passing_dir(spark, "progress"),
         files_per_batch=2,
     )
     query.awaitTermination()

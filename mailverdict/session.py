@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,18 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
+def passing_dir(spark: SparkSession, label: str) -> str:
+    """A folder as `shared_dir` names it, removed when the process ends: for checks and benches."""
+    path = shared_dir(spark, label)
+
+    def drop() -> None:
+        with suppress(Exception):  # the session may have ended first
+            drop_dir(spark, path)
+
+    atexit.register(drop)
+    return path
+
+
 @contextmanager
 def staging(spark: SparkSession, below: str | None = None) -> Iterator[Stage]:
     """Give out a function that writes an intermediate table to the shared folder and reads it back.

@@ -3,7 +3,8 @@
 1. Sample. Of every window of `WINDOW` places the one with the least hash of `GRAM` bytes is a sample, so
    equal strings of `LENGTH` bytes have samples at equal offsets: a difference cover set by content rather
    than by residues. A string is repeated only if the `RIGHT` bytes at its sample occur elsewhere.
-2. Sort. The text from one repeated sample to the next is a symbol. DC3 (`suffixes.py`) puts the suffixes
+2. Sort. The text from one repeated sample to the next is a symbol, and samples without one that is not
+   repeated between them form a run. DC3 (`suffixes.py`) puts the suffixes
    of the symbol sequence in order; adjacent prefixes are compared, and what agrees is removed.
 3. Remaining suffixes. Strings at the edges of repeats start between samples and end inside a symbol.
    They meet by the bytes at their sample, one row per distinct context; their `LENGTH`-byte prefixes
@@ -278,22 +279,28 @@ def repeated_spans(texts: DataFrame, direct: int = DIRECT) -> DataFrame:
     again = scratch(hashed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "again")
     listed = _columns(texts.select("row", "text"), _lister(Sieve(again)), _LISTED, _LISTED_SQL).join(again, "g")
     in_text = Window.partitionBy("row").orderBy("p", "first")
-    following = F.lead("p").over(in_text)
-    marked = listed.withColumn("end", F.coalesce(following != F.col("after"), F.lit(True)))
-    kept = scratch(placed(marked, ["row", "p", "first"], "sequence").withColumnRenamed("place", "pos").drop("zeros"), "samples")
+    run = Window.partitionBy("row", "run")
+    before = F.sum(F.col("end").cast("int")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    marked = listed.withColumn("end", F.coalesce(F.lead("p").over(in_text) != F.col("after"), F.lit(True)))
+    marked = marked.withColumn("run", F.coalesce(before, F.lit(0)))
+    # a repeat of SPAN bytes lies within one run of repeated samples, so shorter runs need no order
+    length = F.max(F.col("p") + F.col("weight")).over(run) - F.min("p").over(run)
+    kept = scratch(marked.withColumn("long", length >= SPAN).drop("run", "after"), "samples")
+    fields = kept.filter("long").select("row", "p", "first", "far", "sym", "weight", "span", "end")
+    sequence = placed(fields, ["row", "p", "first"], "sequence").withColumnRenamed("place", "pos")
     release(texts)
-    ranks = suffix_ranks(kept.select("pos", "sym", F.col("weight").cast("bigint").alias("weight"), "end"), DEPTH)
+    ranks = suffix_ranks(sequence.select("pos", "sym", F.col("weight").cast("bigint").alias("weight"), "end"), DEPTH)
     order = placed(ranks, ["rank", "pos"], "order").select("pos", "place")
-    suffixes = scratch(order.join(kept.select("pos", "span", "far"), "pos").filter("far >= 0").drop("far"), "suffixes")
+    suffixes = scratch(order.join(sequence.filter("far >= 0").select("pos", "row", "p", "first", "span"), "pos").drop("pos"), "suffixes")
     sides = [suffixes.select((F.col("place") + k).alias("place"), F.col("span").alias("other")) for k in (1, -1)]
-    equal = sides[0].union(sides[1]).join(suffixes, "place").filter("other = span").select("pos").distinct()
-    equal = scratch(equal.withColumn("equal", F.lit(True)), "equal")
+    equal = sides[0].union(sides[1]).join(suffixes, "place").filter("other = span").select("row", "p", "first").distinct()
+    equal = equal.withColumn("equal", F.lit(True))
     # starts that a repeat of SPAN bytes at an earlier sample covers need no further comparison
     reach = F.max(F.when(F.col("equal"), F.col("far") - LENGTH)).over(
         Window.partitionBy("row").orderBy("p").rangeBetween(Window.unboundedPreceding, -WINDOW)
     )
     state = scratch(
-        kept.select("row", "pos", "p", "first", "last", "far", "g", "f").join(equal, "pos", "left").withColumn("reach", reach)
+        kept.select("row", "p", "first", "last", "far", "g", "f").join(equal, ["row", "p", "first"], "left").withColumn("reach", reach)
         .withColumn("open", F.coalesce(F.col("reach") < F.col("last"), F.lit(True))).drop("reach"), "state",
     )
     release(texts)

@@ -47,6 +47,28 @@ def passing() -> Iterator[list[DataFrame]]:
             drop_dir(spark, path)
 
 
+class Tables:
+    """The tables that `scratch` writes while a block runs, to be removed once nothing reads them."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[object, str]] = []
+
+    @contextlib.contextmanager
+    def watch(self) -> Iterator[None]:
+        mark = len(_scratch)
+        try:
+            yield
+        finally:
+            self.made += _scratch[mark:]
+
+    def drop(self) -> None:
+        while self.made:
+            table = self.made.pop()
+            if table in _scratch:  # else removed already
+                _scratch.remove(table)
+                drop_dir(*table)
+
+
 def release(df: DataFrame) -> None:
     """Let Spark remove the shuffle files of steps that are over; it does so when the driver collects garbage."""
     gc.collect()

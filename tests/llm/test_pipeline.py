@@ -101,7 +101,7 @@ def test_pipeline_on_odd_tables(spark, make, tmp_path):
     assert out.columns == make([]).columns
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, folder)
+        docs = common.scratch(stage(spark, docs, folder), "stage")
         assert docs.count() == 0
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailverdict.llm.common import scratch
+from mailverdict.llm.common import Tables, release, scratch
 from mailverdict.session import shared_dir
 
 VERSION = "WARC/1.1"
@@ -65,7 +65,7 @@ def _safe(url: Column) -> Column:
 
 
 def records(plan: DataFrame, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """`(value)`: every WARC record as text, without the two line ends that close it.
+    """`(value, later)`: every WARC record as text, without the two line ends that close it.
 
     A response holds an HTTP message whose body is framed in chunks. A message longer than `segment`
     characters is cut: the first part stays in the response, the others are continuation records that
@@ -108,18 +108,20 @@ def records(plan: DataFrame, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CH
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length("block")),
     )
-    return cut.select(F.concat(F.lit(f"{VERSION}\r\n"), fields, F.lit("\r\n"), "block").alias("value"))
+    return cut.select(F.concat(F.lit(f"{VERSION}\r\n"), fields, F.lit("\r\n"), "block").alias("value"), later.alias("later"))
 
 
 def write_archives(pages: DataFrame, path: str, at_least: int = 0, archives: int | None = None) -> None:
     """Write one record per page row, in gzipped WARC files below `path`.
 
-    Records are dealt out at random but fixed places, so that segments of one page lie in several files.
-    Every record ends in two line ends, which is how Spark's text writer separates lines here, and Spark
-    commits each file once, whatever happens to its task.
+    First records are written where their pages lie. Continuations are dealt out by a hash, so that the
+    segments of one page lie in several files; only these are shuffled. Every record ends in two line ends,
+    which is how Spark's text writer separates lines here, and Spark commits each file once, whatever
+    happens to its task.
     """
     texts = records(planned(pages, at_least))
-    dealt = texts.repartition(archives, F.xxhash64("value")) if archives else texts.repartition(F.xxhash64("value"))
+    parts = [F.xxhash64("value")] if archives is None else [archives, F.xxhash64("value")]
+    dealt = texts.filter("NOT later").union(texts.filter("later").repartition(*parts)).select("value")
     dealt.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -292,7 +294,11 @@ def archived_pages(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "llm-warc")
-    write_archives(pages, path, at_least)
+    tables = Tables()
+    with tables.watch():
+        write_archives(pages, path, at_least)
+    tables.drop()  # what the writer has planned with is of no use to the reader
+    release(pages)
     found = reassemble(read_archives(spark, path)).select(
         "record_id", "page_id", "type", "digest", "refers_to", "refers_to_record", "complete", "payload_ok",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),

@@ -105,7 +105,7 @@ def chart_range(start: int, end: int, now: datetime) -> TimeRange:
 
 
 def presets(today: date) -> dict[str, tuple[date, date]]:
-    """The four named ranges of the date picker."""
+    """The four named ranges of the date picker. Their names are fixed values."""
     month = today.replace(day=1)
     last_of_previous = month - timedelta(days=1)
     return {

@@ -66,7 +66,8 @@ class Tables:
             table = self.made.pop()
             if table in _scratch:  # else removed already
                 _scratch.remove(table)
-                drop_dir(*table)
+                with contextlib.suppress(Exception):  # its session may have ended, and the folder with it
+                    drop_dir(*table)
 
 
 def release(df: DataFrame) -> None:

@@ -10,7 +10,7 @@ from mailverdict.llm.common import ascii_lower, bound, scratch
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SLOP = 3
-MARKS = 1 << 20  # bytes of the table that tells which terms to index; a fixed size, whatever the data
+MARKS = 1 << 17  # bytes of the table that tells which terms to index; a fixed size, whatever the data
 
 
 def terms(text: Column) -> Column:

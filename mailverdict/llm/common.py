@@ -87,6 +87,19 @@ def clear_scratch() -> None:
 atexit.register(clear_scratch)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`(doc, row)`: the rows of `docs` as one column, with a number that is written down with them."""
+    return scratch(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+
+
+def keep_first(held: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Of each group of `(row, group)` the row of `held` with the smallest key, and of those the first; null keys come last."""
+    named = held.select("row", F.col("doc")[key].alias("key")).join(groups, "row")
+    order = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
+    kept = scratch(named.groupBy("group").agg(F.min(order).alias("first")).select("first.row"), "kept")
+    return held.join(kept, "row", "left_semi").select("doc.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)

@@ -21,20 +21,23 @@ BLOCKS = 6
 DIRECT = 4096  # values that share a key and are compared at once; more are first split by further bits
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the word shingles as a signed 64-bit number; 0 where there is no word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles in their order; of all words where they are fewer, none where there is no word."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        ends = (starts + lengths)[shingle - 1 :].tolist()
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends)]
-    values = np.array(hashes, np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    ends = (starts + lengths)[shingle - 1 :].tolist()
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the word shingles as a signed 64-bit number; 0 where there is no word."""
+    values = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(values), 1 << 16):
         part = values[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -29,6 +29,7 @@ EPOCHS, RATE, PENALTY = 12, 0.3, 1e-4
 TRAINING_PAGES, SEED = 400, 7
 LABELS = 2  # 0: surroundings, 1: main text
 
+_CLOSED = re.compile(r"""(?:<svg|[\s"']|\s[^\s"'=]+)/>\Z""", re.I)  # not after a value without quotes, which the / belongs to
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -69,6 +70,8 @@ def blocks(page: str) -> list[Block]:
         name, closing = tag[2].lower(), bool(tag[1])
         if name in RAW and not closing:
             flush()
+            if name == "svg" and _CLOSED.search(tag[0]):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue

@@ -175,3 +175,12 @@ def test_odd_pages(spark):
     assert {r.n_chars for r in got if r.page_id != 3} == {0}
     assert next(r for r in got if r.page_id == 3).n_chars == 30 * 3000 - 1
     assert extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("icon", "want"),
+    [("<svg/>", ["a", "b"]), ('<svg class="x" />', ["a", "b"]), ('<SVG width="1"/>', ["a", "b"]), ("<svg hidden/>", ["a", "b"]),
+     ("<svg width=1/>", ["a"]), ("<svg>x</svg>", ["a", "b"]), ("<script/>", ["a"])],
+)
+def test_svg_may_close_itself(icon, want):
+    assert [text for _, text, _ in extract.blocks(f"<p>a</p>{icon}<p>b</p>")] == want

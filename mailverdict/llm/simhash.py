@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailverdict.llm.common import scratch
+from mailverdict.llm.common import keep_first, numbered, scratch
 from mailverdict.llm.components import components
 
 SEED = 42
@@ -155,20 +155,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of `docs` of which each group of near-duplicates keeps the one with the smallest key.
 
-    A kept key that several rows carry keeps one of them. Rows with a null key go where their group has
-    any key; if some group has none, one row of each distinct text without a key stays.
+    Rows are told apart by a number that is written down with them. Of rows with one key the first
+    counts; a row with a null key stays only where its group has no key at all.
     """
-    found = near_duplicates(docs, key, text, distance)
-    kept = scratch(
-        found.filter(F.col(key).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows")),
-        "kept",
-    )
-    staying = docs.join(kept, docs[key].eqNullSafe(kept["_key"]))
-    once = staying.filter("_rows = 1").drop("_key", "_rows")
-    if kept.filter("_rows > 1").isEmpty():
-        return once
-    again = staying.filter("_rows > 1").drop("_key", "_rows")
-    with_key = again.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    without = again.filter(F.col(key).isNull()).dropDuplicates([text])
-    return once.union(with_key).union(without)
+    held = numbered(docs)
+    found = near_duplicates(held.select("row", F.col("doc")[text].alias("text")), "row", "text", distance)
+    return keep_first(held, found.select("row", F.col("component_id").alias("group")), key)

@@ -90,3 +90,10 @@ def test_odd_rows(make):
     assert kept.columns == ["doc_id", "text", "lang", "source", "fingerprint"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
     assert simhash.near_duplicates(make([])).count() == simhash.keep_one(make([])).count() == 0
+
+
+def test_one_row_of_each_group_stays(make):
+    a, b, c = "one text of a few words", "quite another text with words", "and a third that is unlike both"
+    rows = [(None, a), (None, a), (5, b), (None, b), (7, c), (7, "yet something else, under a used key")]
+    kept = simhash.keep_one(make(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (5, b), (7, c), rows[5]], key=str)

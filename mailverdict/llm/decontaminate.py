@@ -155,19 +155,22 @@ def matches(index: DataFrame, anchors: DataFrame, window: int = WINDOW, slop: in
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Per document row: `key, n_words, n_hit, n_items, items_sha256, contaminated`.
 
     `n_hit` counts the words inside any occurrence of a window of an item, `n_items` the items with such
     a window; `items_sha256` is the digest of their ids, sorted as text and joined by commas. Null and
     empty texts have no words; without any benchmark item nothing is hit. Rows that repeat, and null
     keys, are handled row by row. Item texts that repeat under one id count once.
+
+    With `slop` two columns follow that never change those before: `n_proximity`, the proximity matches
+    by item and word range, and `proximity_items`, the sorted ids of their items.
     """
     items = scratch(test_terms(benchmark), "items")
     anchors = rarest_pairs(items, docs, window)
     index = positional_index(docs, key, anchors, window)
-    found = scratch(matches(index, anchors, window, slop=0).distinct(), "matches")
-    by_row = found.groupBy("row").agg(
+    found = scratch(matches(index, anchors, window, slop).distinct(), "matches")
+    by_row = found.filter("kind = 'phrase'").groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"),
         F.array_sort(F.collect_set("item")).alias("items"),
     )
@@ -182,11 +185,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     )
     hits = scratch(by_row.select("row", covered.alias("n_hit"), "items"), "hits")
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return index.select("row", "key", "n_words").join(hits, "row", "left").select(
+    rows, extra = index.select("row", "key", "n_words").join(hits, "row", "left"), []
+    if slop:
+        near = found.filter("kind = 'proximity'").groupBy("row").agg(
+            F.count(F.lit(1)).alias("near"), F.array_sort(F.collect_set("item")).alias("near_items")
+        )
+        rows = rows.join(near, "row", "left")
+        none = F.array().cast("array<string>")
+        extra = [F.coalesce("near", F.lit(0)).cast("bigint").alias("n_proximity"), F.coalesce("near_items", none).alias("proximity_items")]
+    return rows.select(
         F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(listed).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *extra,
     )
 
 

@@ -54,6 +54,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def decontaminate_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`op9_decontaminate` with its proximity matches, which the SQL of that query has no columns for."""
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.decontaminate(docs, benchmark, slop=decontaminate.SLOP)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -75,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
+    "decontaminate_proximity": decontaminate_proximity,
 }

@@ -66,6 +66,14 @@ def test_proximity_matches(spark, make):
     assert len({k for k in got if k[1] == "proximity"}) == 1
 
 
+def test_proximity_matches_are_reported(spark, make):
+    docs = make([(1, "zeta one two quux"), (2, "zeta one quux"), (3, "zeta one two three four five six quux"), (9, "one two one two one two")])
+    bench = spark.createDataFrame([(1, "zeta one two quux")], "item_id bigint, text string")
+    got = decontaminate.decontaminate(docs, bench, slop=decontaminate.SLOP).collect()
+    assert {r.doc_id: (r.n_proximity, r.proximity_items) for r in got} == {1: (0, []), 2: (1, ["1"]), 3: (0, []), 9: (0, [])}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (4, 1, True), 2: (0, 0, False), 3: (0, 0, False), 9: (0, 0, False)}
+
+
 def test_nothing_to_search(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     (row,) = decontaminate.decontaminate(make([(1, "a b")]), none).collect()

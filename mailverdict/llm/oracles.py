@@ -165,13 +165,15 @@ OP3 = rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
     {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lw,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l
   FROM documents),
 gram AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM doc)),
 twice AS (SELECT r, g FROM gram GROUP BY r, g HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM gram JOIN twice USING (r, g)) GROUP BY r),
 raw AS (
-  SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, [{_COUNTS}] AS classes,
     list_transform(CASE lang {_LISTS} END, lambda c: len(list_filter(lw, lambda x: x = c))) AS listed
@@ -189,4 +191,80 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM last
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op10_chat": OP10, "op3_divergence": OP3, "op4_secrets": OP4, "op9_decontaminate": OP9}
+#: Edits by dynamic programming from the last row to the first; v0 to v3 are the cheapest ends (cost, audit, lines)
+#: behind nothing, s, u and a. Structs compare by cost, then audit.
+_NONE = "{'c': 1000000000, 'a': '~', 't': CAST([] AS VARCHAR[])}"
+
+
+def _edit(letter: str, cost: str, line: str | None, after: str, only: str = "TRUE") -> str:
+    lines = f"list_prepend({line}, {after}.t)" if line else f"{after}.t"
+    return f"CASE WHEN {only} THEN {{'c': {after}.c + {cost}, 'a': '{letter}' || {after}.a, 't': {lines}}} ELSE {_NONE} END"
+
+
+def _least(*ends: str) -> str:
+    return f"list_sort([{', '.join(ends)}])[1]"
+
+
+def _row(state: str, after: str, initial: str, role: str) -> str:
+    text, stays = "x.text", "NOT x.must"
+    ends = [
+        _edit("D", "3", None, state),
+        _edit("K", "x.cut", f"x.role || ':' || {text}", after, f"{stays} AND substr(x.role, 1, 1) = '{initial}'"),
+        _edit("R", "2 + x.cut", f"'{role}:' || {text}", after, stays),
+    ]
+    if state == "v0":
+        ends.append(_edit("K", "x.cut", f"x.role || ':' || {text}", "v1", f"{stays} AND substr(x.role, 1, 1) = 's'"))
+    return _least(*ends)
+
+
+def _with_inserts(b0: str, b1: str, b2: str, b3: str) -> str:
+    """The four states with up to two inserts before what follows; more are never cheapest."""
+    to_a = _edit("I", "2", "'assistant:'", b3)
+    to_u, twice = _edit("I", "2", "'user:'", b2), f"CASE WHEN TRUE THEN {{'c': {b3}.c + 4, 'a': 'II' || {b3}.a, 't': list_prepend('user:', list_prepend('assistant:', {b3}.t))}} END"
+    return f"{_least(b0, to_u, twice)} AS v0, {_least(b1, to_u, twice)} AS v1, {_least(b2, to_a)} AS v2, {_least(b3, to_u)} AS v3"
+
+
+_GOAL = "{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}"
+OP13 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+      lambda c, b: xor(c // 256, steps[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) % 20 AS d
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM dealt, unnest(CASE WHEN d = 0 THEN [] WHEN d = 3 THEN [1, 2] ELSE [1] END) AS times(k) WHERE d <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+    NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut FROM damaged),
+known AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || '>' || substr(role, 1, 1) AS pair FROM placed),
+judged AS (
+  SELECT *, blank OR again AS must, CAST(NOT blank AND NOT again AND cut AS BIGINT) AS ends FROM known),
+conv AS (
+  SELECT conv_id, count(*) AS n, list({{'role': role, 'text': text, 'must': must, 'cut': ends}} ORDER BY i) AS x,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(count(*) FILTER (blank) AS BIGINT) AS blank,
+    CAST(count(*) FILTER (again) AS BIGINT) AS duplicate, CAST(sum(ends) AS BIGINT) AS truncated,
+    CAST(count(*) FILTER (pair NOT IN ('s>u', 'u>a', 'a>u')) AS BIGINT) AS illegal
+  FROM judged GROUP BY conv_id),
+step AS (
+  SELECT conv_id, n AS i, x AS rows, {_with_inserts(_GOAL, _NONE, _NONE, _GOAL)} FROM conv
+  UNION ALL
+  SELECT conv_id, i - 1, rows, {_with_inserts('b0', 'b1', 'b2', 'b3')} FROM (
+    SELECT conv_id, i, rows, {_row('v0', 'v2', 'u', 'user')} AS b0, {_row('v1', 'v2', 'u', 'user')} AS b1,
+      {_row('v2', 'v3', 'a', 'assistant')} AS b2, {_row('v3', 'v2', 'u', 'user')} AS b3
+    FROM (SELECT *, rows[i] AS x FROM step WHERE i > 0))),
+names AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT names.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.a, '') AS audit,
+  sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM names LEFT JOIN conv ON names.conv_id IS NOT DISTINCT FROM conv.conv_id
+  LEFT JOIN (SELECT conv_id, v0 FROM step WHERE i = 0) done ON names.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op10_chat": OP10, "op13_repair": OP13, "op3_divergence": OP3, "op4_secrets": OP4, "op9_decontaminate": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailverdict.llm import chat, decontaminate, divergence, extract, mixing, quality, repeats, runs, secrets, simhash, warc
+from mailverdict.llm import chat, decontaminate, divergence, extract, mixing, quality, repair, repeats, runs, secrets, simhash, warc
 from mailverdict.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,6 +74,11 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.repeat_tails(_table(spark, sf_dir, "documents"))))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(turns), conversations=turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
     "op11_runs": op11_runs,
+    "op13_repair": op13_repair,
     "decontaminate_proximity": decontaminate_proximity,
 }

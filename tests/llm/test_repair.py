@@ -1,0 +1,129 @@
+"""Repair of conversation structure."""
+
+import hashlib
+import itertools
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from checks.compare import oracle_rows
+from mailverdict.llm import queries, repair
+from mailverdict.llm.oracles import ORACLES
+
+TURNS = "conv_id bigint, turn bigint, role string, text string"
+FOLLOWS = {"": "u", "s": "u", "u": "a", "a": "u"}
+SPACES = " \t\n\v\f\r"
+
+
+def brute(rows):
+    """Cheapest `(cost, audit, lines)` by trying every edit; rows are `(role, text, must go, cut)`."""
+    best = {}
+
+    def ends(i, state, inserted):
+        if (i, state, inserted) not in best:
+            found = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+            after = FOLLOWS[state]
+            name = {"u": "user", "a": "assistant"}[after]
+            add = lambda cost, letter, line, end: found.append((end[0] + cost, letter + end[1], (*line, *end[2])))
+            if inserted < 3:
+                add(2, "I", (f"{name}:",), ends(i, after, inserted + 1))
+            if i < len(rows):
+                role, text, must, cut = rows[i]
+                add(3, "D", (), ends(i + 1, state, 0))
+                if not must:
+                    if role[:1] == after or (state == "" and role[:1] == "s"):
+                        add(cut, "K", (f"{role}:{text}",), ends(i + 1, role[:1], 0))
+                    add(2 + cut, "R", (f"{name}:{text}",), ends(i + 1, after, 0))
+            best[i, state, inserted] = min(found, default=(10**9, "~", ()))
+        return best[i, state, inserted]
+
+    return ends(0, "", 0)
+
+
+def expected(rows):
+    """The report of one conversation's damaged rows `(turn, role, text)`."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).hexdigest()))
+    seen, judged, counts = set(), [], {"blank": 0, "duplicate": 0, "truncated": 0}
+    for _, role, text in rows:
+        full = text.strip(SPACES)
+        fault = "blank" if not full else "duplicate" if (role, text) in seen else "truncated" if full[-1] not in ".!?" else None
+        seen.add((role, text))
+        if fault:
+            counts[fault] += 1
+        judged.append((role, text, fault in ("blank", "duplicate"), int(fault == "truncated")))
+    numbers = [r[0] for r in rows if r[0] is not None]
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows))
+    cost, audit, lines = brute(judged)
+    return gaps, *counts.values(), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def by_conversation(rows):
+    found = {}
+    for conv, *row in rows:
+        found.setdefault(conv, []).append(tuple(row))
+    return found
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("suax"), st.booleans(), st.booleans()), max_size=9))
+def test_auction_finds_the_cheapest_edits_and_the_least_letters(rows):
+    codes = bytes(("sua".find(r) if r != "x" else 3) | 4 * must | 8 * (cut and not must) for r, must, cut in rows)
+    cost, audit, _ = brute([(r, "", must, int(cut and not must)) for r, must, cut in rows])
+    assert repair.cheapest(codes) == (cost, audit)
+
+
+def test_a_long_conversation_takes_linear_work():
+    cost, audit = repair.cheapest(bytes([1, 1, 2, 2, 0, 4, 9, 3]) * 25_000)
+    assert len(audit) - audit.count("I") == 200_000 and cost > 100_000
+
+
+def test_query_equals_brute_force_and_sql(spark, small):
+    table = spark.read.parquet(f"{small}/conversations.parquet")
+    got = {r[0]: tuple(r)[1:] for r in queries.QUERIES["op13_repair"](spark, small).collect()}
+    rows = [tuple(r) for r in repair.damaged(table).select("conv_id", "turn", "role", "text").collect()]
+    said = by_conversation(rows)
+    assert got == {r.conv_id: expected(said.get(r.conv_id, [])) for r in table.select("conv_id").distinct().collect()}
+    names, want = oracle_rows(small, ORACLES["op13_repair"])
+    fields = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    assert names == sorted(fields)
+    assert Counter(tuple(dict(zip(fields, (c, *r)))[n] for n in names) for c, r in got.items()) == want
+
+
+def test_damage_is_dealt_by_checksum(spark):
+    turns = spark.createDataFrame([(c, t, "assistant", "Is it? Yes! So. ") for c in (0, 1, None) for t in (*range(30), None)], TURNS)
+    got = by_conversation(repair.damaged(turns).select("conv_id", "turn", "role", "text").collect())
+    for c in (0, 1, None):
+        want = []
+        for t in (*range(30), None):
+            dealt = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+            text = {1: "", 2: "Is it Yes So "}.get(dealt, "Is it? Yes! So. ")
+            want += [(t, "user" if dealt == 4 else "assistant", text)] * {0: 0, 3: 2}.get(dealt, 1)
+        assert sorted(got[c], key=str) == sorted(want, key=str)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (1, 0, None, None), (1, None, "user", "Hi."), (1, None, "user", "Hi."), (1, 5, "", "x."), (1, 5, "", "y."),
+        (None, 1, "user", "Null key."), (None, 2, "assistant", "Yes."), (2, 0, "system", "Only."), (3, None, "assistant", None),
+        (4, 0, "system", "S."), (4, 1, "ux", "U!"), (4, 2, "au", "A?\n"), (4, 9, "user", "end" + "." * 100_000),
+    ]
+    turns = spark.createDataFrame(rows, TURNS).withColumn("key", F.lit(1)).withColumn("kind", F.lit("extra")).withColumn("audit", F.lit(0))
+    named = spark.createDataFrame([(7,), (None,), (7,), (4,)], "conv_id bigint")
+    got = {r[0]: tuple(r)[1:] for r in repair.repair(turns, conversations=named).collect()}
+    said = by_conversation([(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows])
+    assert got == {c: expected(said.get(c, [])) for c in (1, 2, 3, 4, 7, None)}
+    assert got[7] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+    assert repair.repair(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("audit, roles", [("KK", ["user", "assistant"]), ("KIDKI", ["system", "user", "au", "user"])])
+def test_repaired_rows_follow_the_audit(spark, audit, roles):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b")] if audit == "KK" else [(1, 0, "system", "a"), (1, 1, "x", "b"), (1, 2, "au", "c")]
+    marked = spark.createDataFrame([(1, audit)], "conv_id bigint, audit string")
+    got = repair.repaired(spark.createDataFrame(rows, TURNS), marked).orderBy("position").collect()
+    assert [r.role for r in got] == roles and "".join(r.edit for r in got) == audit.replace("D", "")

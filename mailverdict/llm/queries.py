@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailverdict.llm import chat, decontaminate, divergence, extract, mixing, quality, repair, repeats, runs, secrets, simhash, warc
+from mailverdict.llm import chat, decontaminate, divergence, extract, mixing, packing, quality, repair, repeats, runs, secrets, simhash, warc
 from mailverdict.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,6 +75,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.repeat_tails(_table(spark, sf_dir, "documents"))))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     return repair.repair(repair.damaged(turns), conversations=turns)
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
     "op11_runs": op11_runs,
+    "op12_packing": op12_packing,
     "op13_repair": op13_repair,
     "decontaminate_proximity": decontaminate_proximity,
 }

@@ -17,7 +17,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 _scratch: list[tuple[object, str]] = []
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
+def scratch(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` below the cluster's shared folder and read it back.
 
     This cuts the lineage: what comes later reads files that outlive any executor, and steps that use
@@ -27,7 +27,7 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, f"llm-{label}")
     _scratch.append((spark, path))
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table

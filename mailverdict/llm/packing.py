@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mailverdict.llm.common import Tables, scratch
+from mailverdict.llm.common import scratch
 
 SIZE = 1024
 END = 0  # the id behind every document
@@ -117,7 +117,8 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _tokenized(docs: DataFrame, key: str, text: str, state: Broadcast) -> DataFrame:
+def _tokenized(docs: DataFrame, key: str, text: str, state: Broadcast, width: int) -> DataFrame:
+    """`(key, row, n, place, ids)`; ids take `width` bytes each."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,56 +133,53 @@ def _tokenized(docs: DataFrame, key: str, text: str, state: Broadcast) -> DataFr
                 ids, sizes = token_ids(state.value, texts.slice(first, last - first))
                 ends = np.cumsum(sizes)
                 places = [coordinates(ids[b - n : b], axes) for n, b in zip(sizes.tolist(), ends.tolist())]
-                ids = np.insert(ids, ends, END)
-                raw = pa.Array.from_buffers(
-                    pa.large_binary(), len(sizes),
-                    [None, pa.py_buffer(4 * np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))), pa.py_buffer(ids.tobytes())],
-                )
+                ids = np.insert(ids, ends, END).astype(f"<u{width}")
+                edge = width * np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
+                raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edge), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column(0).slice(first, last - first), pa.array(sizes + 1), pa.array(places, pa.list_(pa.int64())), raw.cast(pa.binary())],
-                    names=["key", "n", "place", "ids"],
-                )
+                    [
+                        *(whole.column(c).slice(first, last - first) for c in (0, 2)), pa.array(sizes + 1),
+                        pa.array(places, pa.list_(pa.int64())), raw.cast(pa.binary()),
+                    ],
+                    names=["key", "row", "n", "place", "ids"],
+                )
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n bigint, place array<bigint>, ids binary")
+    rows = docs.select(key, text, F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, f"key {kind}, row bigint, n bigint, place array<bigint>, ids binary")
 
 
-def _on_curve(tokenized: DataFrame) -> DataFrame:
-    """Adds each document's place on the curve; axes are centred and scaled over all documents."""
+def _on_curve(places: DataFrame) -> DataFrame:
+    """`(row, n, curve)`: each document's place on the curve; axes are centred and scaled over all documents."""
     number = [f"cast(place[{k}] as decimal(20, 0))" for k in range(AXES)]  # whole numbers, so sums do not depend on their order
-    sums = tokenized.agg(F.count(F.lit(1)), *(F.expr(f"sum({x})") for x in number), *(F.expr(f"sum({x} * {x})") for x in number)).first()
+    sums = places.agg(F.count(F.lit(1)), *(F.expr(f"sum({x})") for x in number), *(F.expr(f"sum({x} * {x})") for x in number)).first()
     count, totals = max(sums[0], 1), [float(x or 0) for x in sums[1:]]
     middle = np.array(totals[:AXES]) / count
     spread = np.sqrt(np.maximum(np.array(totals[AXES:]) / count - middle**2, 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.array(batch.column("place").to_pylist(), np.float64).reshape(-1, AXES)
-            even = 0.5 + 0.5 * np.tanh(0.8 * (places - middle) / spread)  # about evenly spread where places are normal
+            found = np.array(batch.column(2).to_pylist(), np.float64).reshape(-1, AXES)
+            even = 0.5 + 0.5 * np.tanh(0.8 * (found - middle) / spread)  # about evenly spread where places are normal
             cells = np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            columns = {"key": batch.column("key"), "n": batch.column("n"), "curve": pa.array(hilbert_keys(cells), pa.int64()), "ids": batch.column("ids")}
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert_keys(cells), pa.int64())], names=["row", "n", "curve"])
 
-    kind = tokenized.schema["key"].dataType.simpleString()
-    return tokenized.mapInArrow(run, f"key {kind}, n bigint, curve bigint, ids binary")
+    return places.select("row", "n", "place").mapInArrow(run, "row bigint, n bigint, curve bigint")
 
 
-def _with_before(ordered: DataFrame) -> DataFrame:
-    """Adds the number of the range a document lies in and the tokens before it there."""
+def _in_order(places: DataFrame) -> DataFrame:
+    """`(row, part, before)`: the range along the curve a document lies in, and the tokens before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = batch.column("n").to_numpy()
+            sizes = batch.column(1).to_numpy()
             ends = before + np.cumsum(sizes)
-            parts = pa.array(np.full(batch.num_rows, part, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("n"), parts, pa.array(ends - sizes, pa.int64()), batch.column("ids")],
-                names=["key", "n", "part", "before", "ids"],
-            )
+            columns = [batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, part, np.int64)), pa.array(ends - sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "part", "before"])
             before = int(ends[-1]) if batch.num_rows else before
 
-    kind = ordered.schema["key"].dataType.simpleString()
-    return ordered.select("key", "n", "ids").mapInArrow(run, f"key {kind}, n bigint, part bigint, before bigint, ids binary")
+    ordered = _on_curve(places).repartitionByRange("curve", "row").sortWithinPartitions("curve", "row")
+    return ordered.select("row", "n").mapInArrow(run, "row bigint, n bigint, part bigint, before bigint")
 
 
 def cuts(first: int, length: int, total: int, size: int = SIZE) -> list[tuple[int, int, int]]:
@@ -216,44 +214,43 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     tokens, the last ones falling powers of two (`size` is itself one).
 
     Documents are hashed to vectors, projected to four dimensions, and sorted by ranges of their place
-    on a Hilbert curve, so a sequence holds neighbours. Documents at one place, such as copies, are dealt by a hash of
-    their ids and their row's number, so that a large group of copies takes many ranges. What is sent to the
+    on a Hilbert curve, so a sequence holds neighbours. Documents at one place, such as copies, are sorted by their
+    row's number, so that a large group of copies takes many ranges. Only row numbers and counts are sorted;
+    ids are shuffled once, to meet their document's place. What is sent to the
     driver or broadcast is the vocabulary and one number per range. Rows stay apart: repeated rows and null keys are
     packed like any others. A null or empty text is the id 0 alone; an empty table gives no piece.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as file:
         state = spark.sparkContext.broadcast({"json": file.read()})  # workers keep it, and what is added to it, between tasks
+    width = 2 if max(Tokenizer.from_str(state.value["json"]).get_vocab().values(), default=0) < 1 << 16 else 4
     kind = docs.schema[key].dataType.simpleString()
-    passing = Tables()
-    with passing.watch():
-        tokenized = scratch(_tokenized(docs, key, text, state), "tokens")
-    placed = _on_curve(tokenized).withColumn("tie", F.xxhash64("ids", F.monotonically_increasing_id()))
-    ordered = placed.repartitionByRange("curve", "tie").sortWithinPartitions("curve", "tie")
-    packed = scratch(_with_before(ordered), "curve")
-    passing.drop()
-    sums = sorted((r.part, r.n) for r in packed.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row per range
+    tokenized = scratch(_tokenized(docs, key, text, state, width), "tokens", compression="zstd")
+    order = scratch(_in_order(tokenized.select("row", "n", "place")), "order")
+    sums = sorted((r.part, r.n) for r in order.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row per range
     total = sum(n for _, n in sums)
     starts = dict(zip((part for part, _ in sums), np.cumsum([0, *(n for _, n in sums)]).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, pieces, values = [], [], []
-            for k, (n, part, before, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "part", "before", "ids")))):
-                start = 0
-                for piece in cuts(starts[part] + before, n, total, size):
+            for k, (part, before, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                ids, start = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes(), 0
+                for piece in cuts(starts[part] + before, len(ids) // 4, total, size):
                     rows.append(k)
-                    pieces.append((start, *piece, n))
+                    pieces.append((start, *piece, len(ids) // 4))
                     values.append(ids[4 * start : 4 * (start + piece[0])])
                     start += piece[0]
             start, length, sequence, offset, count = (pa.array(c, pa.int64()) for c in zip(*pieces)) if pieces else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(rows, pa.int64())), start, length, pa.array(values, pa.binary()), count, sequence, offset],
+                [batch.column(0).take(pa.array(rows, pa.int64())), start, length, pa.array(values, pa.binary()), count, sequence, offset],
                 names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
+    # a place is some bytes where a document's ids are thousands, so places are hashed and ids need no sort
+    placed = tokenized.select("key", "row", "ids").join(order.drop("n").hint("shuffle_hash"), "row").select("key", "part", "before", "ids")
     schema = f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return packed.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return placed.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def digest(pieces: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -113,12 +113,20 @@ ORACLES["summary_page"] = _summary(
     _ONE_LABEL_PER_MAIL,
     tail=f"ORDER BY total_count DESC, source LIMIT {P.PAGE_SIZE} OFFSET {P.PAGE * P.PAGE_SIZE}",
 )
+ORACLES["summary_page_seek"] = _summary(
+    tail=f"ORDER BY total_count DESC, source, domain LIMIT {P.PAGE_SIZE} OFFSET {P.PAGE_SIZE}"
+)
 ORACLES["domain_totals"] = f"""
 WITH {_ENTRIES}, g AS (
   SELECT domain, source_ip, {_ALIGNED} FROM e WHERE {_between(P.ALL_TIME)}
   GROUP BY GROUPING SETS ((domain, source_ip), (domain)) HAVING grouping(source_ip) = 1)
 SELECT * EXCLUDE (source_ip), total_count AS message_count FROM g"""
 
+_COUNTS = "total_count, pass_count, spf_aligned_count, dkim_aligned_count, fully_aligned_count"
+ORACLES["domain_report_parts"] = f"""
+SELECT domain, source, source_type, {_COUNTS} FROM ({ORACLES["source_summary_all"]})
+UNION ALL SELECT domain, NULL, NULL, {_COUNTS} FROM ({ORACLES["domain_totals"]})"""
+
 _KEYS = ", ".join(DETAIL_KEYS)
 _KEY_ORDER = ", ".join(f"{k} NULLS FIRST" for k in DETAIL_KEYS)
 _KIND_COLUMN = {"ESP": "esp", "SourceDomain": "source_domain", "SourceHost": "source_host",

@@ -16,11 +16,11 @@ from mailverdict.functions import timerange, verdicts
 from mailverdict.functions.addresses import canonical_ip
 from mailverdict.operators.domains import add_esp, org_domains
 from mailverdict.operators.enrich import address_table
-from mailverdict.operators.filters import page, search_domains
+from mailverdict.operators.filters import Key, page, page_after, search_domains
 from mailverdict.operators.flatten import flatten_reports
 from mailverdict.plans import backfill, reports
 from mailverdict.schema import ENRICHED_COLUMNS, ENTRY_COLUMNS, QUARANTINE_SCHEMA
-from mailverdict.session import passing_dir
+from mailverdict.session import keep, passing_dir
 from mailverdict.sources.notices import notified_keys, parse_notices, read_notices
 from mailverdict.sources.reports import parse_reports
 from mailverdict.sources.warehouse import Warehouse
@@ -129,6 +129,23 @@ def summary_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(summary, [F.desc("total_count"), F.asc("source")], P.PAGE, P.PAGE_SIZE)
 
 
+@register
+def summary_page_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `summary_page`, found behind the last row of the page before."""
+    summary = keep(reports.source_summary(fe.entries(spark, sf_dir), P.ALL_TIME), "summary")
+    order = [Key("total_count", descending=True), Key("source"), Key("domain")]
+    return page_after(summary, order, page_after(summary, order, None, P.PAGE_SIZE).collect()[-1], P.PAGE_SIZE)
+
+
+@register
+def domain_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Senders and totals of every domain from one pass over the facts."""
+    summary, totals = reports.report_parts(fe.entries(spark, sf_dir), P.ALL_TIME, stage=keep)
+    columns = ["domain", "source", "source_type", *(c for c in totals.columns if c not in ("domain", "message_count"))]
+    every = totals.withColumns({"source": F.lit(None).cast("string"), "source_type": F.lit(None).cast("string")})
+    return summary.select(*columns).union(every.select(*columns))
+
+
 @register
 def domain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.domain_totals(fe.entries(spark, sf_dir), P.ALL_TIME)
@@ -314,7 +331,7 @@ def _seen_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def ip_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = address_table(
-        _seen_addresses(spark, sf_dir), fl.ip_txt(spark, sf_dir), fl.ptr(spark, sf_dir)
+        _seen_addresses(spark, sf_dir), fl.ip_txt(spark, sf_dir), fl.ptr(spark, sf_dir), keep
     )
     return flat(found.select("raw_ip", *ENRICHED_COLUMNS))
 
@@ -322,7 +339,7 @@ def ip_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def ptr_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _seen_addresses(spark, sf_dir)
-    found = address_table(seen, fl.ip_txt(spark, sf_dir), fl.ptr(spark, sf_dir))
+    found = address_table(seen, fl.ip_txt(spark, sf_dir), fl.ptr(spark, sf_dir), keep)
     return flat(
         found.filter(F.col("source_ip").contains(":")).select("source_ip", "source_host", "source_domain", "esp", "reverse_lookup")
     )
@@ -409,7 +426,7 @@ def empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_warehouse(spark: SparkSession) -> Warehouse:
     """A fresh one. The derived rows spread over years, so they are stored by month."""
-    return Warehouse(passing_dir(spark, "warehouse"), "end_month")
+    return Warehouse(passing_dir(spark, "warehouse"), "end_month", key_buckets=8)
 
 
 def _stored(spark: SparkSession, warehouse: Warehouse) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from mailverdict.functions.addresses import canonical_text
@@ -62,3 +66,53 @@ def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZES[0]) ->
     if size not in PAGE_SIZES or number < 0:
         raise ValueError(f"pages count from 0 and have one of the sizes {PAGE_SIZES}")
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+@dataclass(frozen=True)
+class Key:
+    """One column of an order. Nulls come where Spark puts them unless told: first rising, last falling."""
+
+    name: str
+    descending: bool = False
+    nulls_first: bool | None = None
+
+    @property
+    def leading_nulls(self) -> bool:
+        return not self.descending if self.nulls_first is None else self.nulls_first
+
+    def order(self) -> Column:
+        column = F.col(self.name)
+        if self.descending:
+            return column.desc_nulls_first() if self.leading_nulls else column.desc_nulls_last()
+        return column.asc_nulls_first() if self.leading_nulls else column.asc_nulls_last()
+
+    def behind(self, value: Column, is_null: bool) -> Column:
+        """Whether a row comes behind `value` by this column alone."""
+        column = F.col(self.name)
+        if is_null:
+            return column.isNotNull() if self.leading_nulls else F.lit(False)
+        further = column < value if self.descending else column > value
+        return further if self.leading_nulls else F.coalesce(further, F.lit(True))
+
+
+def seek(df: DataFrame, order: list[Key], last: Row | Mapping) -> DataFrame:
+    """The rows that come behind the row `last` in an order: equal in its first keys, and further in the next."""
+    held = last.asDict() if isinstance(last, Row) else last
+    values = {k.name: F.lit(held[k.name]).cast(df.schema[k.name].dataType) for k in order}
+    steps = []
+    for at, key in enumerate(order):
+        same = [F.col(k.name).eqNullSafe(values[k.name]) for k in order[:at]]
+        steps.append(functools.reduce(Column.__and__, [*same, F.coalesce(key.behind(values[key.name], held[key.name] is None), F.lit(False))]))
+    return df.filter(functools.reduce(Column.__or__, steps))
+
+
+def page_after(df: DataFrame, order: list[Key], last: Row | Mapping | None, size: int = PAGE_SIZES[0]) -> DataFrame:
+    """The page behind the row `last`; the first page where there is none.
+
+    Pages come as `page` gives them, if `order` leaves no ties. But a page costs the same however far
+    down it is: each task keeps its `size` leading rows behind `last`, and no rows before it are sorted.
+    """
+    if size not in PAGE_SIZES:
+        raise ValueError(f"pages have one of the sizes {PAGE_SIZES}")
+    rest = df if last is None else seek(df, order, last)
+    return rest.orderBy(*(key.order() for key in order)).limit(size)

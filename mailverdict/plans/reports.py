@@ -19,6 +19,7 @@ from mailverdict.operators.calendar import LABEL_STEP, fill_days
 from mailverdict.operators.filters import for_domain, from_source, in_range, in_whole_days
 from mailverdict.operators.skew import cap_per_group
 from mailverdict.schema import ARRAY_COLUMNS, DETAIL_KEYS, DETAIL_SEARCH_COLUMNS
+from mailverdict.session import Stage, keep
 
 # A summary of more than SOURCES_CAP sources is cut to SOURCES_KEPT; a drill-down
 # shows DETAIL_CAP rows.
@@ -91,6 +92,27 @@ def domain_totals(entries: DataFrame, span: TimeRange, domain: str | None = None
     )
 
 
+def report_parts(
+    entries: DataFrame, span: TimeRange, domain: str | None = None, include_host: bool = False, stage: Stage = keep
+) -> tuple[DataFrame, DataFrame]:
+    """What `source_summary` and `domain_totals` give, from one pass over the facts.
+
+    Every row counts for its sender and for its domain (grouping sets); both are combined before the one
+    shuffle. The sums, one row per sender and domain, are staged, and both parts read them.
+    """
+    label, rank = verdicts.source_label(include_host)
+    rows = for_domain(in_range(entries, span), domain).withColumns({"source": label, "_rank": rank})
+    sums = rows.groupingSets([["domain", "source"], ["domain"]], "domain", "source").agg(
+        *verdicts.alignment_counts(), F.min("_rank").alias("_rank"), F.grouping("source").alias("_all")
+    )
+    sums = stage(sums, "report")
+    order = [F.desc("total_count"), F.asc("source")]
+    senders = sums.filter("_all = 0").withColumn("source_type", verdicts.source_kind(F.col("_rank"))).drop("_rank", "_all")
+    kept = cap_per_group(senders, "domain", order, ["source"], SOURCES_CAP, SOURCES_KEPT)
+    totals = sums.filter("_all = 1").drop("_rank", "_all", "source").withColumn("message_count", F.col("total_count"))
+    return kept.orderBy("domain", *order), totals.orderBy("domain")
+
+
 class DomainReport(NamedTuple):
     domain: str
     summary: DataFrame
@@ -99,15 +121,9 @@ class DomainReport(NamedTuple):
     end_date: str
 
 
-def domain_report(entries: DataFrame, span: TimeRange, domain: str) -> DomainReport:
+def domain_report(entries: DataFrame, span: TimeRange, domain: str, stage: Stage = keep) -> DomainReport:
     """Everything the report of one domain shows."""
-    return DomainReport(
-        domain,
-        source_summary(entries, span, domain),
-        domain_totals(entries, span, domain),
-        span.start_text,
-        span.end_text,
-    )
+    return DomainReport(domain, *report_parts(entries, span, domain, stage=stage), span.start_text, span.end_text)
 
 
 def _key_order() -> list[Column]:

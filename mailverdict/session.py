@@ -81,6 +81,13 @@ def passing_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back; it stays until the process ends."""
+    path = passing_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def staging(spark: SparkSession, below: str | None = None) -> Iterator[Stage]:
     """Give out a function that writes an intermediate table to the shared folder and reads it back.

@@ -11,7 +11,7 @@ from fixtures import entries as fe
 from mailverdict.functions import verdicts
 from mailverdict.functions.timerange import TimeRange
 from mailverdict.operators.enrich import count_addresses
-from mailverdict.operators.filters import for_domain, in_range, in_whole_days, page, search_domains
+from mailverdict.operators.filters import Key, for_domain, in_range, in_whole_days, page, page_after, search_domains
 from mailverdict.plans import reports
 from mailverdict.schema import ENTRY_COLUMNS, ENTRY_SCHEMA
 from mailverdict.sources.warehouse import Warehouse
@@ -250,8 +250,7 @@ def stored(spark, small, tmp_path_factory):
     for period in ("end_day", "end_month"):
         warehouse = Warehouse(str(tmp_path_factory.mktemp(period)), period)
         part = fe.entries(spark, small).filter(F.col("end_date") < 797000000)
-        with warehouse.batch(spark, "one"):
-            warehouse.write_entries(part, "one")
+        warehouse.write_entries(part, "one")
         tables[period] = warehouse
     return tables
 
@@ -315,3 +314,37 @@ def test_stored_rows_equal_written_rows(spark, small, stored):
         got = warehouse.entries(spark).select(*ENTRY_COLUMNS)
         assert got.exceptAll(want).isEmpty()
         assert want.exceptAll(got).isEmpty()
+
+
+def test_report_parts_scan_the_facts_once(spark, stored):
+    df = stored["end_month"].entries(spark)
+    seen = []
+    staged = lambda part, label: seen.append(plan(part).split("== Physical Plan ==")[1]) or part
+    span = TimeRange(780000000, 797000000)
+    summary, totals = reports.report_parts(df, span, stage=staged)
+    assert len(seen) == 1 and seen[0].count("FileScan") == 1 and "Expand" in seen[0] and seen[0].count("Exchange") == 1
+    assert summary.collect() == reports.source_summary(df, span).select(summary.columns).collect()
+    assert totals.select(sorted(totals.columns)).collect() == reports.domain_totals(df, span).select(sorted(totals.columns)).collect()
+    whole = reports.domain_report(df, span, "d3.example.com")
+    assert whole.totals.count() == 1 and whole.summary.count() == reports.source_summary(df, span, "d3.example.com").count() > 1
+
+
+@pytest.mark.parametrize("order", [
+    [Key("a"), Key("b", descending=True), Key("c")],
+    [Key("a", descending=True, nulls_first=True), Key("l", nulls_first=False), Key("c")],
+    [Key("b", nulls_first=False), Key("a", descending=True), Key("l", descending=True), Key("c", descending=True)],
+])
+def test_pages_behind_a_row_are_the_pages_by_number(spark, order):
+    rows = [(k % 5 if k % 7 else None, "xyz"[k * 5 % 3] if k % 4 else None, [str(k % 2)] * (k % 3) if k % 6 else None, k) for k in range(430)]
+    df = spark.createDataFrame(rows, "a int, b string, l array<string>, c bigint")
+    last, number = None, 0
+    while True:
+        got = page_after(df, order, last, 100).collect()
+        assert got == page(df, [k.order() for k in order], number, 100).collect()
+        if not got:
+            break
+        last, number = got[-1], number + 1
+    assert number == 5
+    assert "TakeOrderedAndProject(limit=100" in plan(page_after(df, order, rows and df.first(), 100))
+    with pytest.raises(ValueError, match="pages"):
+        page_after(df, order, None, 7)

@@ -3,19 +3,19 @@
 from pyspark.sql import types as T
 
 # The report tree is read as text only. Integers are checked and cast afterwards, so that one bad
-# number rejects the whole mail, and surrounding blanks of text survive. Containers are lists, as
+# number rejects the whole mail, and surrounding blanks of text survive. All elements are lists, as
 # each may be repeated.
 REPORT_XML_SCHEMA = """
-report_metadata array<struct<org_name:string, date_range:array<struct<begin:string, `end`:string>>>>,
-policy_published array<struct<domain:string, adkim:string, aspf:string, p:string, sp:string, pct:string>>,
+report_metadata array<struct<org_name:array<string>, date_range:array<struct<begin:array<string>, `end`:array<string>>>>>,
+policy_published array<struct<domain:array<string>, adkim:array<string>, aspf:array<string>, p:array<string>, sp:array<string>, pct:array<string>>>,
 record array<struct<
-  row:array<struct<source_ip:string, count:string,
-    policy_evaluated:array<struct<disposition:string, dkim:string, spf:string,
-      reason:array<struct<type:string, comment:string>>>>>>,
-  identifiers:array<struct<header_from:string, envelope_from:string, envelope_to:string>>,
+  row:array<struct<source_ip:array<string>, count:array<string>,
+    policy_evaluated:array<struct<disposition:array<string>, dkim:array<string>, spf:array<string>,
+      reason:array<struct<type:array<string>, comment:array<string>>>>>>>,
+  identifiers:array<struct<header_from:array<string>, envelope_from:array<string>, envelope_to:array<string>>>,
   auth_results:array<struct<
-    dkim:array<struct<domain:string, selector:string, result:string>>,
-    spf:array<struct<domain:string, scope:string, result:string>>>>>>,
+    dkim:array<struct<domain:array<string>, selector:array<string>, result:array<string>>>,
+    spf:array<struct<domain:array<string>, scope:array<string>, result:array<string>>>>>>>,
 _corrupt_record string
 """
 

@@ -328,6 +328,11 @@ _STORED = f"WITH {_LOOKED_UP} SELECT {_flat_list(ENTRY_COLUMNS)} FROM e"
 ORACLES["ingest_roundtrip"] = _STORED
 ORACLES["ingest_incremental"] = _STORED
 ORACLES["ingest_compacted"] = _STORED
+ORACLES["ingest_known_addresses"] = _STORED
+ORACLES["domain_stats_totalled"] = ORACLES["domain_stats"]
+ORACLES["source_summary_totalled"] = ORACLES["source_summary_all"]
+ORACLES["domain_totals_totalled"] = ORACLES["domain_totals"]
+ORACLES["daily_chart_totalled"] = f"WITH {_chart(P.ALL_TIME, _ENTRIES)} SELECT * FROM c"
 ORACLES["ingest_quarantine"] = """
 SELECT DISTINCT concat('msg-', CAST(l_orderkey AS varchar)) AS message_id,
   CASE l_orderkey % 13 {} ELSE 'stored' END AS stage

@@ -13,12 +13,13 @@ from fixtures import lookups as fl
 from fixtures import mails as fm
 from fixtures import notices as fn
 from mailverdict.functions import timerange, verdicts
-from mailverdict.functions.addresses import canonical_ip
+from mailverdict.functions.addresses import canonical_ip, lookup_name
 from mailverdict.operators.domains import add_esp, org_domains
 from mailverdict.operators.enrich import address_table
 from mailverdict.operators.filters import Key, page, page_after, search_domains
 from mailverdict.operators.flatten import flatten_reports
-from mailverdict.plans import backfill, reports
+from mailverdict.operators.totals import Totalled
+from mailverdict.plans import backfill, reports, totalled
 from mailverdict.schema import ENRICHED_COLUMNS, ENTRY_COLUMNS, QUARANTINE_SCHEMA
 from mailverdict.session import keep, passing_dir
 from mailverdict.sources.notices import notified_keys, parse_notices, read_notices
@@ -459,6 +460,53 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, warehouse)
 
 
+@register
+def ingest_known_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older mails first; then all mails, with lookup tables that no longer hold what the first batch asked for."""
+    warehouse = new_warehouse(spark)
+    lookups = fl.lookups(spark, sf_dir)
+    rows = fe.entries(spark, sf_dir)
+    older = fm.wrap_mails(fm.report_xml(rows.filter(F.col("end_date") <= P.FIRST_RUN_END)))
+    backfill.ingest_mails(spark, older, warehouse, lookups)
+    answered = warehouse.addresses(spark).select("source_ip", lookup_name(F.col("source_ip")).alias("query_name"))
+    rest = backfill.Lookups(
+        lookups.ip_txt.join(answered, "query_name", "left_anti"),
+        lookups.ptr.join(answered, F.col("ip") == F.col("source_ip"), "left_anti"),
+    )
+    backfill.ingest_mails(spark, fm.wrap_mails(fm.report_xml(rows)), warehouse, rest)
+    return _stored(spark, warehouse)
+
+
+def _totalled(spark: SparkSession, sf_dir: str) -> Totalled:
+    """All rows as two batches, of which the first was stored before with other rows."""
+    warehouse = new_warehouse(spark)
+    rows = keep(fe.entries(spark, sf_dir), "entries")
+    older = F.col("end_date") <= P.FIRST_RUN_END
+    for part, name in ((rows, "a"), (rows.filter(~older), "b"), (rows.filter(older), "a")):
+        warehouse.write_entries(part, name)
+    return warehouse.totalled(spark)
+
+
+@register
+def domain_stats_totalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totalled.domain_stats(_totalled(spark, sf_dir), P.NOW)
+
+
+@register
+def source_summary_totalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totalled.source_summary(_totalled(spark, sf_dir), P.ALL_TIME)
+
+
+@register
+def domain_totals_totalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totalled.domain_totals(_totalled(spark, sf_dir), P.ALL_TIME)
+
+
+@register
+def daily_chart_totalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totalled.daily_chart(_totalled(spark, sf_dir), P.ALL_TIME)
+
+
 DAMAGE_CYCLE = 13
 
 

@@ -75,9 +75,12 @@ def source_summary(
     entries: DataFrame, span: TimeRange, domain: str | None = None, include_host: bool = False
 ) -> DataFrame:
     """Senders by volume. More than 1000 senders of a domain are cut to its first 999."""
+    return cap_senders(source_totals(entries, span, domain, include_host))
+
+
+def cap_senders(senders: DataFrame) -> DataFrame:
     order = [F.desc("total_count"), F.asc("source")]
-    totals = source_totals(entries, span, domain, include_host)
-    kept = cap_per_group(totals, "domain", order, ["source"], SOURCES_CAP, SOURCES_KEPT)
+    kept = cap_per_group(senders, "domain", order, ["source"], SOURCES_CAP, SOURCES_KEPT)
     return kept.orderBy("domain", *order)
 
 
@@ -106,11 +109,9 @@ def report_parts(
         *verdicts.alignment_counts(), F.min("_rank").alias("_rank"), F.grouping("source").alias("_all")
     )
     sums = stage(sums, "report")
-    order = [F.desc("total_count"), F.asc("source")]
     senders = sums.filter("_all = 0").withColumn("source_type", verdicts.source_kind(F.col("_rank"))).drop("_rank", "_all")
-    kept = cap_per_group(senders, "domain", order, ["source"], SOURCES_CAP, SOURCES_KEPT)
     totals = sums.filter("_all = 1").drop("_rank", "_all", "source").withColumn("message_count", F.col("total_count"))
-    return kept.orderBy("domain", *order), totals.orderBy("domain")
+    return cap_senders(senders), totals.orderBy("domain")
 
 
 class DomainReport(NamedTuple):

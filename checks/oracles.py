@@ -350,3 +350,10 @@ ORACLES["notice_documents"] = ORACLES["notice_filter"]
 ORACLES["stream_two_checkpoints"] = ORACLES["stream_ingest"] = f"""
 WITH {_LOOKED_UP}, {_ANNOUNCED} SELECT {_flat_list(ENTRY_COLUMNS)} FROM e
 WHERE message_id IN (SELECT message_id FROM n)"""
+ORACLES["stream_first_seen"] = f"""
+WITH {_LOOKED_UP}, {_ANNOUNCED},
+bad AS (SELECT count(*) AS c FROM events WHERE {UNREADABLE})
+SELECT message_id, count(*) AS stored, CAST(0 AS BIGINT) AS aside FROM e
+WHERE end_date <= {P.FIRST_RUN_END} OR message_id IN (SELECT message_id FROM n) GROUP BY message_id
+UNION ALL SELECT DISTINCT message_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM n WHERE message_id NOT IN (SELECT message_id FROM e)
+UNION ALL SELECT NULL, CAST(0 AS BIGINT), c FROM bad WHERE c > 0"""

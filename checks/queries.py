@@ -25,7 +25,7 @@ from mailverdict.session import keep, passing_dir
 from mailverdict.sources.notices import notified_keys, parse_notices, read_notices
 from mailverdict.sources.reports import parse_reports
 from mailverdict.sources.warehouse import Warehouse
-from mailverdict.streaming.ingest import ingest_stream
+from mailverdict.streaming.ingest import ingest_stream, stop_between_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -584,3 +584,25 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     query.awaitTermination()
     return _stored(spark, warehouse)
+
+
+@register
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older mails first; then notices to a stream that keeps the keys it met, stopped after two batches and started again.
+
+    Per key the records stored, and how often it was set aside; notices that cannot be read have no key.
+    """
+    warehouse = new_warehouse(spark)
+    lookups = fl.lookups(spark, sf_dir)
+    older = fe.entries(spark, sf_dir).filter(F.col("end_date") <= P.FIRST_RUN_END)
+    backfill.ingest_mails(spark, fm.wrap_mails(fm.report_xml(older)), warehouse, lookups)
+    notices, mails, progress = fn.notice_folder(spark, sf_dir), fm.mail_folder(spark, sf_dir), passing_dir(spark, "progress")
+    for batches in (2, None):
+        query = ingest_stream(
+            spark, notices, mails, warehouse, lookups, progress, files_per_batch=1, compact_every=3, keep_state=True
+        )
+        stop_between_batches(query, lambda p, n=batches: n is not None and p.batchId + 1 >= n)
+    stored = warehouse.entries(spark).select("message_id", F.lit(1).alias("stored"), F.lit(0).alias("aside"))
+    aside = warehouse.quarantine(spark).select("message_id", F.lit(0).alias("stored"), F.lit(1).alias("aside"))
+    sums = [F.sum(name).cast("bigint").alias(name) for name in ("stored", "aside")]
+    return stored.unionByName(aside).groupBy("message_id").agg(*sums)

@@ -30,8 +30,14 @@ TRAINING_PAGES, SEED = 400, 7
 LABELS = 2  # 0: surroundings, 1: main text
 
 _CLOSED = re.compile(r"""(?:<svg|[\s"']|\s[^\s"'=]+)/>\Z""", re.I)  # not after a value without quotes, which the / belongs to
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# quotes hold a value only right behind the =; one that is never closed is part of a value without quotes
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s>]*)*)(?:>|\Z)""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S*)))?""")
+_TELLING = frozenset(("class", "id", "role"))
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -86,7 +92,7 @@ def blocks(page: str) -> list[Block]:
             # a paragraph, list item or table cell ends where the next one begins
             if open_ and open_[-1][0] == name and name in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
                 open_.pop()
-            values = " ".join(x for m in _CLASS.findall(tag[3] or "") for x in m).lower()
+            values = " ".join(" ".join(m[1:]) for m in _ATTRIBUTE.findall(tag[3] or "") if m[0].lower() in _TELLING).lower()
             open_.append((name, tuple(f".{w}" for w in dict.fromkeys(_WORD.findall(values)) if w in HINTS)))
         else:
             places = [k for k, (x, _) in enumerate(open_) if x == name]

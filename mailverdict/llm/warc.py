@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -64,6 +65,11 @@ def _safe(url: Column) -> Column:
     return F.regexp_replace(url, r"[\r\n]", "%0A")
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """A text cut into pieces of `size` characters in one pass; none of an empty text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}+"), F.lit(0))
+
+
 def records(plan: DataFrame, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
     """`(value, later)`: every WARC record as text, without the two line ends that close it.
 
@@ -71,15 +77,10 @@ def records(plan: DataFrame, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CH
     characters is cut: the first part stays in the response, the others are continuation records that
     name it, and the last of them states the length of the whole. A revisit has the headers alone.
     """
-    n = F.length("html")
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
     framed = F.array_join(
         F.transform(
-            starts,
-            lambda s: F.concat(
-                F.lower(F.conv(F.octet_length(F.substring("html", s, F.lit(chunk))).cast("string"), 10, 16)),
-                F.lit("\r\n"), F.substring("html", s, F.lit(chunk)), F.lit("\r\n"),
-            ),
+            _pieces(F.col("html"), chunk),
+            lambda c: F.concat(F.lower(F.conv(F.octet_length(c).cast("string"), 10, 16)), F.lit("\r\n"), c, F.lit("\r\n")),
         ), "",
     )
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -89,7 +90,7 @@ def records(plan: DataFrame, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CH
     parts = plan.withColumn("message", message).withColumn("of", F.ceil(F.length("message") / segment).cast("int"))
     cut = parts.select(
         "row", "page_id", "url", "digest", "record_type", "first_page", "first_row", "of", F.octet_length("message").alias("total"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.substring("message", k * segment + 1, F.lit(segment)))).alias("k", "block"),
+        F.posexplode(_pieces(F.col("message"), segment)).alias("k", "block"),
     )
     many, later = F.col("of") > 1, F.col("k") > 0
     fields = _lines(
@@ -164,7 +165,10 @@ class _Bytes:
 
 
 def parse_archive(packed: bytes) -> Iterator[dict]:
-    """Records of one archive; blocks are cut by their stated length, so they may hold anything."""
+    """Records of one archive; blocks are cut by their stated length, so they may hold anything.
+
+    A record whose length is missing or no number counts as empty; reading goes on at the next line that begins a record.
+    """
     source = _Bytes(packed)
     while (line := source.line()) is not None:
         if not line.startswith(b"WARC/"):
@@ -173,8 +177,8 @@ def parse_archive(packed: bytes) -> Iterator[dict]:
         while line := source.line():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", 0))
-        number = lambda name: int(fields[name]) if fields.get(name, "").lstrip("-").isdigit() else None  # noqa: E731, B023
+        number = lambda name: int(fields[name]) if re.fullmatch("-?[0-9]{1,18}", fields.get(name, "")) else None  # noqa: E731, B023
+        length = max(number("content-length") or 0, 0)
         yield {
             "record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "segment": number("warc-segment-number"),
             "origin": fields.get("warc-segment-origin-id"), "total": number("warc-segment-total-length"),

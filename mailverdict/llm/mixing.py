@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailverdict.llm.common import scratch, words
 
@@ -13,6 +14,7 @@ CAP = 3
 SPREAD = 64  # parts into which documents of one source and size are dealt, so that none is one task
 ROUNDS = 60
 CLOSE = 1e-12
+OPEN = 1e-6  # a gap that sums of doubles do not explain
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -60,8 +62,12 @@ def balance(classes: DataFrame, sources: DataFrame) -> DataFrame:
             state.join(mass, "sid").select("sid", "target", (F.col("lam") + step).alias("lam"), F.abs(gap / F.col("target")).alias("gap")),
             "dual",
         )
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= CLOSE:
+        gap = state.agg(F.max("gap")).first()[0] or 0.0
+        if gap <= CLOSE:
             break
+    else:
+        if not gap <= OPEN:
+            raise RuntimeError(f"a target is missed by {gap:.3g} of it after {ROUNDS} rounds")
     return state.select("sid", F.least(F.exp("lam"), F.lit(float(CAP))).alias("rate"))
 
 
@@ -83,11 +89,11 @@ def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["sid", "size", "part"]].assign(each=each, more=more)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tick: Column | None = None) -> DataFrame:
     """Per document row: `key, size, source_size, target, rate, copies, taken`.
 
     `copies` is the rate rounded down or up, for as many documents of a size as meet the target; which
-    ones is fixed by a hash of key and text, so reruns agree. The rounding handles one row per source,
+    ones is fixed by `tick`, by default a hash of key and text, so reruns agree. The rounding handles one row per source,
     size and part, however many documents there are. Null texts have no words and are not taken; a null
     source is a source of its own; equal rows may get different numbers of copies. An empty table, or
     one without words, gives targets of 0.
@@ -95,7 +101,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sized = scratch(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("bigint").alias("size"),
-            F.xxhash64(key, text).alias("tick"),
+            (F.xxhash64(key, text) if tick is None else tick).alias("tick"),
         ).withColumn("part", F.pmod("tick", F.lit(SPREAD)).cast("int")),
         "sized",
     )
@@ -116,9 +122,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """`docs` with each row as often as the mix takes it; columns as they were."""
+    """`docs` with each row as often as the mix takes it; columns as they were, whatever their names.
+
+    Which of several rows of a size are taken more often follows from their values, not from the files they lie in.
+    """
     own = docs.columns
     held = scratch(docs.select(F.struct(*own).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    texts = held.select("row", F.col("doc")["text"].alias("text"), F.col("doc")["source"].alias("source"))
-    taken = scratch(mix(texts, "row").filter("copies > 0").select("row", "copies"), "taken")
-    return held.join(taken, "row").select("doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    tick = F.xxhash64(*(F.col("doc")[name] for name in plain)).alias("tick")
+    texts = held.select("row", F.col("doc")["text"].alias("text"), F.col("doc")["source"].alias("source"), tick)
+    taken = scratch(mix(texts, "row", tick=F.col("tick")).filter("copies > 0").select("row", "copies"), "taken")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return held.join(taken, "row").select("doc", each).select("doc.*")

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -119,3 +120,12 @@ def test_all_operators_and_the_pipeline_are_registered():
     assert numbers == list(range(1, 14))
     assert list(inspect.signature(driver.queries()["pipeline"]).parameters) == ["spark", "sf_dir"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_mixture_keeps_all_columns_and_does_not_follow_files(spark, make):
+    rows = [(i, f"w{i} " * (1 + i % 7), "en", "abc"[i % 3 % 2]) for i in range(60)]
+    docs = make(rows).withColumn("_copy", F.col("doc_id") * 2).withColumn("row", F.lit("r"))
+    one, two = (mixing.mixture(d) for d in (docs.repartition(1), docs.orderBy(F.desc("doc_id")).repartition(5)))
+    assert one.columns == docs.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert all(r._copy == 2 * r.doc_id for r in one.collect())

@@ -184,3 +184,40 @@ def test_odd_pages(spark):
 )
 def test_svg_may_close_itself(icon, want):
     assert [text for _, text, _ in extract.blocks(f"<p>a</p>{icon}<p>b</p>")] == want
+
+
+@pytest.mark.parametrize(
+    ("tag", "want"),
+    [("<p title=it's>", ["a", "b"]), ('<p title="x > y">', ["a", "b"]), ("<p title='x > y' id=c>", ["a", "b"]), ('<p title="abc>', ["a", "b"]),
+     ("<p it's>", ["a", "b"]), ('<p title = "1>2" x=\'">\'>', ["a", "b"]), ("<p a==x>", ["a", "b"]), ("<p title=>", ["a", "b"]), ("<p '>", ["a", "b"])],
+)
+def test_quotes_count_only_behind_an_equals_sign(tag, want):
+    assert [text for _, text, _ in extract.blocks(f"<h1>a</h1>{tag}b</p>")] == want
+
+
+def test_hints_come_from_whole_attributes():
+    def path(tag):
+        return extract.blocks(f"{tag}x</div>")[0][0]
+
+    assert path("<div class='main menu' id=nav ROLE=\"search\">") == ("div", ".main", ".menu", ".nav", ".search")
+    assert path('<div title="class=menu" data-x=nav>') == ("div",)
+
+
+def test_an_article_with_a_stray_quote_is_read_whole():
+    page = "<article><h1>T</h1><p title=it's>Hello there, it's a fine long sentence for you.</p></article>"
+    assert extract.main_text(page, extract.model()) == "T Hello there, it's a fine long sentence for you."
+
+
+def test_damaged_record_lengths_end_no_task():
+    sound = "WARC/1.1\r\nWARC-Record-ID: <s>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    for wrong in ("Content-Length: five", "Content-Length: -3", "Content-Length: \u0665", "Content-Length:", "X: y", "Content-Length: " + "9" * 30):
+        archive = f"WARC/1.1\r\nWARC-Record-ID: <d>\r\n{wrong}\r\n\r\nlost\r\n\r\n{sound}"
+        got = [(r["record_id"], r["block"]) for r in warc.parse_archive(gzip.compress(archive.encode()))]
+        assert got == [("<d>", b""), ("<s>", b"ok")], wrong
+
+
+def test_a_very_long_page_comes_back_whole(spark):
+    page = "\U0001f600é\n<p>x" * 1_500_000  # 15 MB
+    got = warc.archived_pages(spark.createDataFrame([(1, "u", page), (2, "u", page[:-1])], PAGES)).collect()
+    want = {i: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for i, t in ((1, page), (2, page[:-1]))}
+    assert {r.page_id: r.payload_digest for r in got} == want and {r.payload_bytes for r in got} == {len(page.encode()), len(page.encode()) - 1}

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,38 @@ def test_url_levels(spark):
     df = spark.createDataFrame([("http://A.b.com:80/x/y?z",), ("https://c.d",), ("nonsense",), (None,)], "u string")
     got = [tuple(r) for r in df.select(*quality.url_levels(F.col("u"))).collect()]
     assert got == [("a.b.com", "/x"), ("c.d", None), (None, None), (None, None)]
+
+
+def test_posteriors_by_hand(spark):
+    """Every number of every row again, with numpy, from the fitted weights."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.features(docs, "doc_id", "text", F.col("source"), F.col("lang"))
+    model = quality.fit(rows, labels)
+    t = rows.fillna("", ["host", "path"]).toPandas()
+    logit = lambda p: np.log(p / (1 - p))
+    t["evidence"] = np.clip(t[list(quality.FEATURES)].to_numpy() @ np.array(model.weights) + model.intercept - logit(model.base), -12, 12)
+    t["own"] = 1 / (1 + np.exp(-(t.evidence + logit(model.base))))
+    overall = t.own.mean()
+
+    def strength(groups, centre):
+        n = groups["count"].sum()
+        between = (groups["count"] * (groups["mean"] - centre) ** 2).sum() / n - overall * (1 - overall) * len(groups) / n
+        return min(max(overall * (1 - overall) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+    hosts = t.groupby("host").own.agg(["count", "mean", "sum"])
+    k = strength(hosts, overall)
+    hosts["share"] = (k * overall + hosts["sum"]) / (k + hosts["count"])
+    paths = t.groupby(["host", "path"]).own.agg(["count", "mean", "sum"])
+    centre = hosts.share.loc[paths.index.get_level_values("host")].to_numpy()
+    k = strength(paths, centre)
+    paths["share"] = (k * centre + paths["sum"]) / (k + paths["count"])
+    t["path_share"] = paths.share.loc[list(zip(t.host, t.path))].to_numpy()
+    t["score"] = 1 / (1 + np.exp(-(t.evidence + logit(t.path_share))))
+    want = t.set_index("key")
+    got = quality.judge(docs, labels).toPandas().set_index("doc_id").loc[want.index]
+    assert len(got) == len(want) == docs.count()
+    np.testing.assert_allclose(got.host_share, hosts.share.loc[want.host].to_numpy(), atol=2e-6)
+    for name in ("evidence", "path_share", "score"):
+        np.testing.assert_allclose(got[name], want[name], atol=2e-6)
+    sure = abs(want.score - 0.5) > 1e-5
+    assert (got.keep == (want.score >= 0.5))[sure].all()

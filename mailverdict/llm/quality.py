@@ -70,7 +70,7 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> Classifier:
         return Classifier((0.0,) * len(FEATURES), 0.0, 0.5)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
     model = LogisticRegression(regParam=REGULARISATION, maxIter=100).fit(vectors)
-    return Classifier(tuple(model.coefficients.tolist()), float(model.intercept), good / n)
+    return Classifier(tuple(model.coefficients.toArray().tolist()), float(model.intercept), good / n)
 
 
 def _logit(p: float) -> float:

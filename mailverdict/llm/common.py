@@ -92,12 +92,22 @@ def numbered(docs: DataFrame) -> DataFrame:
     return scratch(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
 
 
+def met(held: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """`held` joined with `rows` on `row`, by a shuffle of both whatever their sizes.
+
+    The numbers of rows grow with the corpus, so from some size on they cannot be broadcast. With one plan
+    for all sizes, what a small run takes of disk and shuffle tells what a large one takes. Only numbers are
+    hashed in memory; the documents need no sort.
+    """
+    return held.join(rows.hint("shuffle_hash"), "row", how)
+
+
 def keep_first(held: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Of each group of `(row, group)` the row of `held` with the smallest key, and of those the first; null keys come last."""
     named = held.select("row", F.col("doc")[key].alias("key")).join(groups, "row")
     order = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
     kept = scratch(named.groupBy("group").agg(F.min(order).alias("first")).select("first.row"), "kept")
-    return held.join(kept, "row", "left_semi").select("doc.*")
+    return met(held, kept, "left_semi").select("doc.*")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailverdict.llm.common import ascii_lower, bound, scratch
+from mailverdict.llm.common import ascii_lower, bound, met, scratch
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -211,4 +211,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     held = scratch(docs.select(F.struct(*own).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     texts = held.select("row", F.col("doc")["text"].alias("text"))
     hit = scratch(decontaminate(texts, benchmark, "row", window).filter("contaminated").select("row"), "contaminated")
-    return held.join(hit, "row", "left_anti").select("doc.*")
+    return met(held, hit, "left_anti").select("doc.*")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailverdict.llm.common import scratch, words
+from mailverdict.llm.common import met, scratch, words
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -133,4 +133,4 @@ def mixture(docs: DataFrame) -> DataFrame:
     texts = held.select("row", F.col("doc")["text"].alias("text"), F.col("doc")["source"].alias("source"), tick)
     taken = scratch(mix(texts, "row", tick=F.col("tick")).filter("copies > 0").select("row", "copies"), "taken")
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return held.join(taken, "row").select("doc", each).select("doc.*")
+    return met(held, taken).select("doc", each).select("doc.*")

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailverdict.llm.common import scratch, words
+from mailverdict.llm.common import met, scratch, words
 
 FEATURES = ("symbols", "capitals", "bars", "shouts", "digits", "distinct", "growth", "word_length", "log_words")
 CAPITALS = string.ascii_uppercase + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xDF))))
@@ -147,4 +147,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     by_row = doc.select("row", "doc_id").join(marked, "doc_id").select("row", "quality")
     bad = scratch(judge(doc.drop("doc_id"), by_row, "row").filter("NOT keep").select("row"), "rejected")
-    return held.join(bad, "row", "left_anti").select("doc.*")
+    return met(held, bad, "left_anti").select("doc.*")

@@ -129,3 +129,14 @@ def test_mixture_keeps_all_columns_and_does_not_follow_files(spark, make):
     assert one.columns == docs.columns
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     assert all(r._copy == 2 * r.doc_id for r in one.collect())
+
+
+def test_documents_meet_row_numbers_by_one_plan_at_any_size(spark, make):
+    """A small run must not broadcast what a large one has to shuffle, or its disk says nothing about the large one."""
+    docs = make([(i, f"w{i} common words " * 30, "en", "ab"[i % 2]) for i in range(40)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    bench = spark.createDataFrame([(1, "w3 common words w3 common words w3 common words w3")], "item_id bigint, text string")
+    for out in (quality.keep_good(docs, labels), simhash.keep_one(docs), decontaminate.keep_clean(docs, bench), mixing.mixture(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+        assert out.columns == docs.columns and out.count() > 0

@@ -1,5 +1,6 @@
 """Removal of long repeated passages by a suffix order of the repeated parts of the corpus.
 
+0. Equal texts go whole; one of them stands for all in what follows.
 1. Sample. Of every window of `WINDOW` places the one with the least hash of `GRAM` bytes is a sample, so
    equal strings of `LENGTH` bytes have samples at equal offsets: a difference cover set by content rather
    than by residues. A string is repeated only if the `RIGHT` bytes at its sample occur elsewhere.
@@ -132,10 +133,15 @@ def _columns(df: DataFrame, one: Callable, fields: list[tuple[str, pa.DataType]]
     return df.mapInArrow(run, schema)
 
 
-def _rights(text: str | None) -> tuple[np.ndarray]:
+def _rights(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(g, whole, twice)`: the distinct hashes at samples, the hash of the whole text, and whether it has `g` at several samples.
+
+    A long text's sample that comes twice, with its starts divided, is one place.
+    """
     data = _bytes(text)
-    places = samples(data)[0]
-    return (_digests(data, places.tolist(), (places + RIGHT).tolist()),)
+    places = np.unique(samples(data)[0])
+    found, times = np.unique(_digests(data, places.tolist(), (places + RIGHT).tolist()), return_counts=True)
+    return found, np.full(len(found), xxhash.xxh3_64_intdigest(data), np.uint64).view(np.int64), times > 1
 
 
 class Sieve:
@@ -272,12 +278,32 @@ def _edges(listed: DataFrame, texts: DataFrame, direct: int) -> DataFrame:
     return whole.union(found).union(alike)
 
 
+def twins(texts: DataFrame) -> DataFrame:
+    """`(row, spare, spans)` of the texts that equal another one: they go whole, and all but one of them are `spare`."""
+    sha = F.unhex(F.sha2("text", 256)).alias("sha")
+    marks = scratch(texts.select("row", sha, F.octet_length("text").alias("size")).filter(F.col("size") >= LENGTH), "marks")
+    copied = marks.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least")).filter("n > 1").select("sha", "least")
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("size").alias("last"))).alias("spans")
+    return scratch(marks.join(copied, "sha").select("row", (F.col("row") != F.col("least")).alias("spare"), whole), "twins")
+
+
 def repeated_spans(texts: DataFrame, direct: int = DIRECT) -> DataFrame:
     """`(row, spans)` of `texts(row, text)`: sorted, possibly overlapping byte ranges `(first, last)`, end
-    exclusive, that strings of `LENGTH` bytes cover which also start elsewhere."""
-    hashed = _columns(texts.select("text"), _rights, [("g", _I64)], "g bigint")
-    again = scratch(hashed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "again")
+    exclusive, that strings of `LENGTH` bytes cover which also start elsewhere.
+
+    One of equal texts stands for all of them among the others; the texts themselves go whole."""
+    copies = twins(texts)
+    found = _different(texts, copies.filter("spare").select("row"), direct)
+    return found.join(copies.select("row"), "row", "left_anti").union(copies.select("row", "spans"))
+
+
+def _different(texts: DataFrame, spare: DataFrame, direct: int) -> DataFrame:
+    """`(row, spans)` as `repeated_spans` gives them, of strings that start elsewhere in a text that is not `spare`."""
+    hashed = _columns(texts.select("text"), _rights, [("g", _I64), ("whole", _I64), ("twice", pa.bool_())], "g bigint, whole bigint, twice boolean")
+    met = hashed.groupBy("g").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.max("twice").alias("twice"))
+    again = scratch(met.filter("a <> b OR twice").select("g"), "again")
     listed = _columns(texts.select("row", "text"), _lister(Sieve(again)), _LISTED, _LISTED_SQL).join(again, "g")
+    listed = listed.join(spare, "row", "left_anti")
     in_text = Window.partitionBy("row").orderBy("p", "first")
     run = Window.partitionBy("row", "run")
     before = F.sum(F.col("end").cast("int")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))

@@ -87,3 +87,15 @@ def test_whole_table(small_docs):
 
 def test_empty_table(make):
     assert repeats.remove_repeats(make([])).count() == 0
+
+
+def test_equal_texts_enter_the_order_once(make, monkeypatch):
+    rng = random.Random(5)
+    one, two = ("".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(2))
+    asked = []
+    monkeypatch.setattr(repeats, "suffix_ranks", lambda seq, depth: asked.append(seq.count()) or suffix_ranks(seq, depth))
+    check(make([(k, t) for k, t in enumerate([one] * 6 + [two, "x" * 199, "x" * 199, None, None])]))
+    assert asked == [0]
+    check(make([(k, t) for k, t in enumerate([one] * 6 + [two + one[1000:2500], two[:700] * 2, two[:700] * 2])]))
+    samples = len(repeats.samples(one.encode())[0])
+    assert 0 < asked[1] < 2 * samples

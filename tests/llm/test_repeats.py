@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from mailverdict.llm import repeats
@@ -99,3 +100,55 @@ def test_equal_texts_enter_the_order_once(make, monkeypatch):
     check(make([(k, t) for k, t in enumerate([one] * 6 + [two + one[1000:2500], two[:700] * 2, two[:700] * 2])]))
     samples = len(repeats.samples(one.encode())[0])
     assert 0 < asked[1] < 2 * samples
+
+
+def test_periodic_texts(make):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 20)))
+    plain = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3)]
+    texts = []
+    for unit in ["x", "the ", "reintion ", word(), "é", "abcab"]:
+        for size in (150, 199, 200, 200 + len(unit) - 1, 200 + len(unit), 215, 400, 1500):
+            text = (unit * size)[rng.randrange(len(unit)) :][:size]
+            texts.append(rng.choice(plain)[: rng.choice([0, 90, 300])] + text + rng.choice(plain)[rng.choice([100, 399]) :])
+    texts += [(word() + " ") * 30 + (word() + " ") * 30 + rng.choice(plain) for _ in range(10)]
+    check(make(list(enumerate(texts))))
+
+
+def test_periods_stay_out_of_the_order(make, monkeypatch):
+    asked = []
+    monkeypatch.setattr(repeats, "suffix_ranks", lambda seq, depth: asked.append(seq.count()) or suffix_ranks(seq, depth))
+    texts = [f"{k} " + "the " * (300 + k) + "of " * (200 + k) + f"end {k}" for k in range(6)]
+    check(make(list(enumerate(texts))))
+    assert asked[0] < 300  # a sample every period would be 6 * 500
+
+
+def test_samples_of_many_texts():
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab c", k=rng.choice([0, 10, 199, 200, 700, 3000]))) + b"no " * rng.choice([0, 40, 200]) for _ in range(60)]
+    for text, (places, firsts) in zip(texts, repeats.samples_of_many(texts)):
+        assert [places.tolist(), firsts.tolist()] == [x.tolist() for x in repeats.samples(text)[:2]]
+
+
+def test_a_sample_in_two_pieces_comes_once(monkeypatch):
+    text = bytes(random.Random(2).choices(range(97, 123), k=5000))
+    whole = [x.tolist() for x in repeats.samples(text)]
+    monkeypatch.setattr(repeats, "PIECE", 500)
+    assert [x.tolist() for x in repeats.samples(text)] == whole
+
+
+def test_shared_offsets():
+    rng = random.Random(9)
+    sides = [(bytes(rng.choices(b"ab\0", k=140)), bytes(rng.choices(b"ab\0", k=200))) for _ in range(2)]
+    rows = []
+    for k in range(40):
+        left, right = bytearray(rng.choice(sides)[0]), bytearray(rng.choice(sides)[1])
+        left[rng.randrange(140)] = right[rng.randrange(200)] = 35
+        low, high = sorted((rng.randint(0, 140), rng.randint(0, 140)))
+        rows.append((k // 8, low, high, bytes(left[140 - high :] + right[: 200 - low])))
+    strings = [{(c, a, x[high - a : high - a + 200]) for a in range(low, high + 1)} for c, low, high, x in rows]
+    times = collections.Counter(s for held in strings for s in held)
+    want = [sorted(a for c, a, x in held if times[c, a, x] > 1) for held in strings]
+    got = repeats.shared_offsets(*(np.array(x) for x in list(zip(*rows))[:3]), [r[3] for r in rows])
+    assert [np.flatnonzero(x).tolist() for x in got] == want
+    assert any(want) and not all(want)

@@ -385,7 +385,9 @@ def _edges(listed: DataFrame, texts: DataFrame, direct: int) -> DataFrame:
     wanted = scratch(asked.groupBy("row").agg(F.collect_list(F.struct("g", "f", "n", "p", "first", "last")).alias("asked")), "asked")
     fields = [("g", _I64), ("f", _I64), ("n", _I64), ("low", _I32), ("high", _I32), ("context", pa.binary())]
     schema = "g bigint, f bigint, n bigint, low int, high int, context binary"
+    release(texts)
     held = scratch(_mapped(texts.join(wanted, "row").select("text", "asked"), _contexts, fields, schema), "texts")
+    release(texts)
     few = held.join(classes.filter(F.col("kinds") <= direct).select("g"), "g")
     grouped = few.groupBy("g").agg(F.collect_list(F.struct("f", "n", "low", "high", "context")).alias("members"))
     found = grouped.select("g", "members").mapInArrow(_resolve, f"g bigint, f bigint, runs {RUNS}")

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from fixtures import entries as fe
+from fixtures import mails as fm
 
 T = datetime.datetime(1997, 5, 4)
 
@@ -69,3 +70,17 @@ def test_entries_are_those_of_their_sql(spark, odd_tables, looked_up):
 def test_entries_are_worked_out_behind_the_shuffles(spark, odd_tables, all_shuffled):
     shuffled = re.findall(r"Exchange hashpartitioning\((\w+)#", plan(fe.entries(spark, odd_tables)))
     assert sorted(shuffled) == ["c_custkey", "l_orderkey", "l_suppkey", "o_custkey", "o_orderkey", "s_suppkey"]
+
+
+def test_reports_are_grouped_where_their_rows_lie(spark, odd_tables, all_shuffled):
+    text = plan(fm.report_xml(fe.reported(spark, odd_tables)))
+    assert "message_id" not in "".join(re.findall(r"Exchange hashpartitioning\(.*", text))
+    assert len(re.findall("Exchange hashpartitioning", text)) == 6
+
+
+def test_reports_grouped_by_order_are_those_grouped_by_key(spark, odd_tables):
+    # numbers of rows that only their supplier or order tells apart are free, so that the least of each stands
+    rows = fe.reported(spark, odd_tables).dropDuplicates(["message_id", "record_number"])
+    rows = rows.localCheckpoint()
+    by_order, by_key = (fm.report_xml(df).orderBy("message_id").collect() for df in (rows, rows.drop(fe.ORDER_KEY)))
+    assert by_order == by_key and len(by_key) > 1

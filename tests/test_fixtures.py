@@ -4,9 +4,14 @@ import datetime
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import entries as fe
 from fixtures import mails as fm
+from mailverdict.operators.flatten import flatten_reports
+from mailverdict.plans.backfill import _pick_mails
+from mailverdict.session import staging
+from mailverdict.sources.reports import parse_reports
 
 T = datetime.datetime(1997, 5, 4)
 
@@ -84,3 +89,25 @@ def test_reports_grouped_by_order_are_those_grouped_by_key(spark, odd_tables):
     rows = rows.localCheckpoint()
     by_order, by_key = (fm.report_xml(df).orderBy("message_id").collect() for df in (rows, rows.drop(fe.ORDER_KEY)))
     assert by_order == by_key and len(by_key) > 1
+
+
+def test_contents_are_made_only_where_they_are_read(spark, odd_tables):
+    mails = fm.wrap_mails(fm.report_xml(fe.reported(spark, odd_tables)))
+    assert "_wrapped" in plan(mails)
+    assert "_wrapped" not in plan(mails.groupBy("message_id").count()) and "InArrow" not in plan(mails.select("message_id"))
+
+
+def test_nothing_is_picked_where_every_mail_is_wanted(spark, tmp_path):
+    mails = spark.createDataFrame([("a", b"1"), ("b", b"2"), (None, b"3")], "message_id string, content binary")
+    held = mails.groupBy("message_id").agg(F.count(F.lit(1)).alias("copies"))
+    with staging(spark, str(tmp_path)) as stage:
+        picked = _pick_mails(mails, held, held.filter("message_id IS NOT NULL"), stage)
+        assert "Join" not in plan(picked)
+        assert sorted(r.message_id for r in picked.collect()) == ["a", "b"]
+
+
+def test_records_do_not_carry_all_records(spark):
+    nothing = F.lit(None).cast("string")
+    mails = spark.createDataFrame([("a", "<feedback/>")], "message_id string, xml string").withColumns({"stage": nothing, "error": nothing})
+    (repeated,) = re.findall(r"Generate posexplode\(.*?\), \[(.*?)\]", plan(flatten_reports(parse_reports(mails))))
+    assert "record" not in repeated and "report#" not in repeated

@@ -2,12 +2,14 @@
 
 import datetime
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import entries as fe
 from fixtures import mails as fm
+from mailverdict import session
 from mailverdict.operators.flatten import flatten_reports
 from mailverdict.plans.backfill import _pick_mails
 from mailverdict.session import staging
@@ -111,3 +113,19 @@ def test_records_do_not_carry_all_records(spark):
     mails = spark.createDataFrame([("a", "<feedback/>")], "message_id string, xml string").withColumns({"stage": nothing, "error": nothing})
     (repeated,) = re.findall(r"Generate posexplode\(.*?\), \[(.*?)\]", plan(flatten_reports(parse_reports(mails))))
     assert "record" not in repeated and "report#" not in repeated
+
+
+def test_shuffle_files_go_once_a_large_table_is_written(spark, tmp_path, monkeypatch):
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+    monkeypatch.setattr(session, "LARGE_BYTES", 1)
+    with staging(spark, str(tmp_path)) as stage:
+        before = shuffles()
+        stage(spark.range(1000).repartition(40, "id").groupBy("id").count(), "numbers")
+        for _ in range(50):
+            if shuffles() <= before:
+                return
+            time.sleep(0.2)
+    raise AssertionError("shuffle files stay")

@@ -7,10 +7,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from checks import params as P
 from fixtures import entries as fe
 from fixtures import mails as fm
 from mailverdict import session
 from mailverdict.operators.flatten import flatten_reports
+from mailverdict.plans import reports
 from mailverdict.plans.backfill import _pick_mails
 from mailverdict.session import staging
 from mailverdict.sources.reports import parse_reports
@@ -129,3 +131,12 @@ def test_shuffle_files_go_once_a_large_table_is_written(spark, tmp_path, monkeyp
                 return
             time.sleep(0.2)
     raise AssertionError("shuffle files stay")
+
+
+def test_groups_of_all_domains_are_made_once(spark, odd_tables):
+    made = []
+    rows = fe.entries(spark, odd_tables).withColumn("esp", F.lit("all"))
+    found = reports.source_detail(rows, P.ALL_TIME, None, "all", "ESP", stage=lambda df, label: made.append(label) or session.keep(df, label))
+    assert made == ["groups"] and "lineitem" not in plan(found)
+    want = sum(r.message_count for r in rows.collect())
+    assert sum(r.message_count for r in found.collect()) == want > 0
